@@ -33,11 +33,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder that all executors share and return a plan that reads it.
 
     The folder is the session's ``spark.checkpoint.dir``. Only where none is set (tests, one machine) a temporary one is taken.
+    The returned plan forgets the estimated size of ``df``: estimates of joins are products, and over the rounds of a loop they would
+    grow to numbers of millions of digits. Adaptive execution goes by the sizes it meets.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        given = spark.conf.get("spark.checkpoint.dir", None)
         if given is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="pagewright-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    plan = kept._jdf.queryExecution()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), kept._jdf.schema(), False), spark)
