@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("integrity", "scalar_queries", "relational_queries", "retrieval_queries", "training_queries")
+MODULES = ("integrity", "scalar_queries", "relational_queries", "retrieval_queries", "training_queries", "io_queries")
 
 
 def registries() -> list:
