@@ -11,21 +11,26 @@ from pagewright.session import cut
 def min_labels(ties: DataFrame, record: str = "record", entity: str = "entity") -> DataFrame:
     """(record, label): the smallest record reachable from each record over shared entities. ``ties`` has a row per record and entity.
 
-    Each round an entity takes the smallest label of its records and a record the smallest of its entities; then labels are followed
-    once more (a label is a record and has a label itself), which halves long chains. Rounds go on until no label changes. A hot entity
-    is one row after the partial aggregate; joins that bring its label back are on a side with one row per key. Lineage is cut each round.
-    Rows with a null record or entity tie nothing. Empty input gives no rows.
+    Each round an entity takes the smallest label among its records, and every label the smallest of its entities'; labels are then
+    followed twice more, which shortens long chains. Records of one label move together, so the graph kept is that of labels and
+    entities: it shrinks by the round, and entities with one label left are dropped. Rounds end when none is left. A hot entity or label
+    is one row after the partial aggregate, and joins that bring values back have one row per key on one side. Lineage is cut each round.
+    Rows with a null record or entity tie nothing; entities of a single record neither. Empty input gives no rows.
     """
-    ties = ties.select(F.col(record).alias("r"), F.col(entity).alias("e")).where("r is not null and e is not null").distinct()
-    ties = cut(ties.join(ties.groupBy("e").agg(F.count("*").alias("n")).where("n > 1").select("e"), "e"))
-    labels = cut(ties.groupBy("r").agg(F.min("r").alias("l")))
-    while True:
-        by_entity = ties.join(labels, "r").groupBy("e").agg(F.min("l").alias("l"))
-        near = ties.join(by_entity, "e").groupBy("r").agg(F.min("l").alias("l"))
-        onward = labels.select(F.col("r").alias("l"), F.col("l").alias("l2"))
-        moved = near.join(onward, "l", "left").select("r", F.least("l", F.coalesce("l2", "l")).alias("l"))
-        before = labels.withColumnRenamed("l", "was")
-        joined = cut(moved.join(before, "r"))
-        labels = joined.select("r", "l")
-        if joined.where("l <> was").isEmpty():
-            return labels.select(F.col("r").alias(record), F.col("l").alias("label"))
+    ties = ties.select(F.col(record).alias("l"), F.col(entity).alias("e")).where("l is not null and e is not null")
+    graph = cut(ties.distinct())
+    shared = graph.groupBy("e").agg(F.min("l").alias("m"), F.max("l").alias("x")).where("m < x").select("e", "m")
+    active = cut(graph.join(shared, "e"))
+    labels = active.select(F.col("l").alias("r"), "l").distinct()
+    while not active.isEmpty():
+        hook = active.groupBy("l").agg(F.min("m").alias("h"))
+        for _ in range(2):
+            onward = hook.select(F.col("l").alias("h"), F.col("h").alias("h2"))
+            hook = hook.join(onward, "h", "left").select("l", F.coalesce("h2", "h").alias("h"))
+        hook = cut(hook)
+        labels = cut(labels.join(hook, "l", "left").select("r", F.coalesce("h", "l").alias("l")))
+        graph = active.join(hook, "l").select(F.col("h").alias("l"), "e").distinct()
+        graph = cut(graph)
+        shared = graph.groupBy("e").agg(F.min("l").alias("m"), F.max("l").alias("x")).where("m < x").select("e", "m")
+        active = cut(graph.join(shared, "e"))
+    return labels.select(F.col("r").alias(record), F.col("l").alias("label"))
