@@ -33,9 +33,10 @@ def read_record_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """(text_name, text): a folder's .txt files, whole, without outer white space; unreadable files are skipped."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").option("ignoreCorruptFiles", True).text(folder)
-    return raw.select(F.col("_metadata.file_name").alias("text_name"), strip(F.col("value")).alias("text"))
+    """(text_name, text): a folder's .txt files, whole, without outer white space. Files of no bytes (Spark does not list them) and files that are no UTF-8 are skipped; a blank file has the text ''."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("ignoreCorruptFiles", True).load(folder)
+    rows = raw.select(basename(F.col("path")).alias("text_name"), F.col("content").cast("string").alias("text")).where(F.is_valid_utf8("text"))
+    return rows.select("text_name", strip(F.col("text")).alias("text"))
 
 
 def text_items(items: DataFrame, order: str) -> DataFrame:
