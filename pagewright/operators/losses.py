@@ -5,6 +5,8 @@ A batch is a table of score rows; a ``batch`` column is not needed since all is
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,9 +65,14 @@ def pairwise(scores: DataFrame, positives: DataFrame, temperature: float = 1.0)
     return _mean(two.join(pos, "q"), softplus((hardest - F.col("p")) / temperature))
 
 
+def _weighted_sum(parts: list[tuple[DataFrame, float]]) -> DataFrame:
+    rows = [p.select((F.col("loss") * w).alias("loss")) for p, w in parts]
+    return reduce(DataFrame.unionByName, rows).agg(F.sum("loss").alias("loss"))
+
+
 def weighted(a: DataFrame, b: DataFrame, weight_b: float) -> DataFrame:
     """(1 - w) a + w b of two losses of one row."""
-    return a.crossJoin(b.withColumnRenamed("loss", "__b")).select((F.col("loss") * (1 - weight_b) + F.col("__b") * weight_b).alias("loss"))
+    return _weighted_sum([(a, 1 - weight_b), (b, weight_b)])
 
 
 def multi_positive(scores: DataFrame, positives: DataFrame, temperature: float = 0.02) -> DataFrame:
@@ -101,8 +108,8 @@ def combined(scores: DataFrame, positives: DataFrame, step: int, weight: float =
     """weight x multi-positive, and in every ``every``-th step beyond 200 plus list_weight x listwise NDCG."""
     a = multi_positive(scores, positives, temperature)
     if step % every or step <= 200:
-        return a.select((F.col("loss") * weight).alias("loss"))
-    return a.crossJoin(listwise_ndcg(scores, positives, k).withColumnRenamed("loss", "__l")).select((F.col("loss") * weight + F.col("__l") * list_weight).alias("loss"))
+        return _weighted_sum([(a, weight)])
+    return _weighted_sum([(a, weight), (listwise_ndcg(scores, positives, k), list_weight)])
 
 
 #: Losses by name, for jobs that take theirs from a setting.

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions.scalars import hash_number
+
 #: Strategies of evaluation: distinct sorted page numbers. Strategies of composition: a fixed number of tiles.
 EVALUATED = ("first4", "first9", "all_pages", "first2_last2", "last4", "uniform4", "random4")
-COMPOSED = {"first1": (1, 1), "first4": (2, 2), "first9": (3, 3), "first16": (4, 4), "last4": (2, 2), "first2_last2": (2, 2), "uniform4": (2, 2)}
+COMPOSED = {"first1": (1, 1), "first4": (2, 2), "first9": (3, 3), "first16": (4, 4), "last4": (2, 2), "first2_last2": (2, 2), "uniform4": (2, 2), "random4": (2, 2)}
 
 
 def _all(n: Column) -> Column:
@@ -38,9 +40,17 @@ def chosen_pages(strategy: str, n: Column, doc: Column | None = None) -> Column:
     return F.when(n > 0, picked).otherwise(F.array().cast("array<int>"))
 
 
-def composed_tiles(strategy: str, n: Column) -> Column:
-    """Page number of each tile in order; null is a blank tile. Needs a document of at least one page."""
+def composed_tiles(strategy: str, n: Column, doc: Column | None = None) -> Column:
+    """Page number of each tile in order; null is a blank tile. Needs a document of at least one page.
+
+    random4 takes four pages in md5 order of document and number; with fewer pages each tile takes one by md5, with repeats.
+    """
     n = n.cast("int")
+    if strategy == "random4":
+        tile = lambda i: hash_number(F.concat(doc.cast("string"), F.lit(":"), i.cast("string")), 1 << 30)
+        keyed = F.array_sort(F.transform(_all(n), lambda i: F.struct(F.md5(F.concat(doc.cast("string"), F.lit(":"), i.cast("string"))).alias("h"), i.alias("i"))))
+        four = F.transform(F.slice(keyed, 1, 4), lambda s: s.i)
+        return F.when(n >= 4, four).otherwise(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (tile(i) % n).cast("int")))
     if strategy == "first4":
         return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i < n, i))
     if strategy in ("first1", "first9", "first16"):

@@ -65,9 +65,8 @@ def materialised(df: DataFrame, key: str, ids: str, corpus: DataFrame, corpus_ke
 
 def histogram(df: DataFrame, value: Column, name: str = "value") -> DataFrame:
     """(name, n, percent): counts of values with one decimal of percent. An empty table has no rows."""
-    counts = df.groupBy(value.alias(name)).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("__total"))
-    return counts.crossJoin(F.broadcast(total)).select(name, "n", F.round(100.0 * F.col("n") / F.col("__total"), 1).alias("percent"))  # one row
+    total = float(df.count())
+    return df.groupBy(value.alias(name)).agg(F.count("*").alias("n")).select(name, "n", F.round(F.col("n") * 100.0 / F.lit(total), 1).alias("percent"))
 
 
 def keyword_clusters(texts: DataFrame, clusters: DataFrame, key: str, keywords: str = "keywords") -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions.vectors import dot
+
 #: Vectors of queries that one block may hold: 4096 x 128 doubles are 4 MB.
 BLOCK_VECTORS = 4096
 ROUND = 6
@@ -116,9 +118,12 @@ def pages_to_documents(scored: DataFrame, page_docs: DataFrame, query_key: str,
 
 
 def similarity_map(q_tokens: DataFrame, patches: DataFrame, width: int) -> DataFrame:
-    """(q_tok, x, y, sim) of one query (q_tok, e) over one picture's patches (pos, e), laid out in rows of ``width``."""
-    from pagewright.functions.vectors import dot
-
-    w = F.lit(width)
-    met = patches.alias("p").crossJoin(F.broadcast(q_tokens.alias("q")))  # one query's tokens against one picture's patches
-    return met.select("q_tok", (F.col("pos") % w).alias("x"), F.floor(F.col("pos") / w).alias("y"), dot(F.col("q.e"), F.col("p.e")).alias("sim"))
+    """(q_tok, x, y, sim) of one query (q_tok, e) over patches (pos, e), laid out in rows of ``width``. A query of more than BLOCK_VECTORS tokens raises."""
+    rows = q_tokens.select("q_tok", F.col("e").cast("array<double>").alias("e")).orderBy("q_tok").limit(BLOCK_VECTORS + 1).collect()
+    if len(rows) > BLOCK_VECTORS:
+        raise ValueError(f"a query has at most {BLOCK_VECTORS} tokens")
+    toks = F.array(*[F.struct(F.lit(r["q_tok"]).cast("long").alias("q_tok"), F.lit(r["e"]).cast("array<double>").alias("q")) for r in rows]) if rows else None
+    if toks is None:
+        return patches.sparkSession.createDataFrame([], "q_tok long, x long, y long, sim double")
+    each = patches.select("pos", F.col("e").cast("array<double>").alias("e"), F.explode(toks).alias("t"))
+    return each.select("t.q_tok", (F.col("pos") % width).alias("x"), F.floor(F.col("pos") / width).alias("y"), dot(F.col("t.q"), F.col("e")).alias("sim"))

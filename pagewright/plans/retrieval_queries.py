@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import scalars as S
 from pagewright.functions import vectors as V
+from pagewright.operators import index as N
 from pagewright.operators import pages as P
 from pagewright.operators import ranking as M
 from pagewright.operators import relational as R
@@ -128,6 +129,7 @@ def _tile_sql(s: str) -> str:
     return {
         "first4": "list_transform(range(4), lambda i: CASE WHEN i < n THEN i END)", "first1": "[0]", "first9": "list_transform(range(9), lambda i: i % n)", "first16": "list_transform(range(16), lambda i: i % n)",
         "last4": short.format("[n - 4, n - 3, n - 2, n - 1]"), "first2_last2": short.format("[0, 1, n - 2, n - 1]"), "uniform4": "list_transform(range(4), lambda i: least(round(i * (n - 1) / 3), n - 1))",
+        "random4": "CASE WHEN n >= 4 THEN list_transform(list_sort(list_transform(range(n), lambda i: {'h': md5(doc || ':' || i), 'i': i}))[1:4], lambda s: s.i) ELSE list_transform(range(4), lambda i: ('0x' || substr(md5(doc || ':' || i), 1, 8))::BIGINT % 1073741824 % n) END",
     }[s]
 
 
@@ -137,12 +139,12 @@ TILES = " UNION ALL ".join(f"SELECT '{s}' AS strategy, doc, {c} AS columns, {_ti
 @REGISTRY(
     "page_tiles",
     f"WITH n AS (SELECT document_name AS doc, count(DISTINCT page_name)::INTEGER AS n FROM image_page_metadata WHERE page_name <> document_name GROUP BY 1), x AS (SELECT strategy, doc, columns, unnest(t) AS page_index, unnest(range(len(t)))::INTEGER AS tile FROM ({TILES})) SELECT strategy, doc, tile, page_index, ((tile % columns) * 1275)::INTEGER AS x, ((tile // columns) * 1650)::INTEGER AS y FROM x",
-    "PS7 PS8 PS9 PS10 PS11 PS14",
+    "PS7 PS8 PS9 PS10 PS11 PS12 PS14",
 )
 def page_tiles(spark: SparkSession, d: str) -> DataFrame:
     """Tiles of composed pictures; a null page is a blank tile."""
     docs = P.page_counts(table(spark, d, "image_page_metadata"), "document_name", "page_name").withColumnRenamed("document_name", "doc")
-    plans = F.array(*[F.struct(F.lit(s).alias("strategy"), F.lit(c).alias("columns"), P.composed_tiles(s, F.col("n_pages")).alias("t")) for s, (_, c) in P.COMPOSED.items()])
+    plans = F.array(*[F.struct(F.lit(s).alias("strategy"), F.lit(c).alias("columns"), P.composed_tiles(s, F.col("n_pages"), F.col("doc")).alias("t")) for s, (_, c) in P.COMPOSED.items()])
     t = docs.select("doc", F.explode(plans).alias("x")).select("x.strategy", "doc", "x.columns", F.posexplode("x.t").alias("tile", "page_index"))
     _, _, left, above = P.tile_place(F.col("tile"), F.col("columns"))
     return t.select("strategy", "doc", "tile", "page_index", left.alias("x"), above.alias("y"))
@@ -276,6 +278,14 @@ def sample_sized_pool(spark: SparkSession, d: str) -> DataFrame:
     return B.sized_pool(docs, "doc_id", "positive", 30)
 
 
+@REGISTRY("vec_indexed_top10", None, "V5")
+def vec_indexed_top10(spark: SparkSession, d: str) -> DataFrame:
+    """Top 10 over candidates of a centroid index; its recall against brute force is tested."""
+    tokens, queries = fx.doc_tokens(spark, d), X.pack(fx.query_tokens(spark, d), "qid", "tok", "e")
+    index = N.build(tokens, "doc_id", "tok", "e", 16)
+    return N.search(index, X.pack(tokens, "doc_id", "tok", "e"), queries, "doc_id", "qid", 10)
+
+
 @REGISTRY("scan_last_results", "SELECT coalesce(category, 'none') AS category, query, arg_max(pos_target, query_id) AS results FROM query_list WHERE query IS NOT NULL AND pos_target IS NOT NULL GROUP BY 1, 2", "S15")
 def scan_last_results(spark: SparkSession, d: str) -> DataFrame:
     """Results per category and query; of repeats the last, rows without either left out."""

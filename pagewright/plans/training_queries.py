@@ -12,6 +12,7 @@ from pagewright.operators import collate as L
 from pagewright.operators import grouping as G
 from pagewright.operators import losses as X
 from pagewright.operators import sampling as B
+from pagewright.operators.vector import maxsim
 from pagewright.plans import fixtures as fx
 from pagewright.plans.fixtures import SCORES, TOKENS
 from pagewright.plans.registry import Registry
@@ -179,9 +180,9 @@ BI_PAIR = f"SELECT avg({SOFTPLUS.format('((h - p) / 0.02)')}) AS loss FROM {HARD
 @REGISTRY("loss_single_vector", f"WITH {SINGLE} " + " UNION ALL ".join(f"SELECT '{n}' AS name, round(loss, 6) AS loss FROM ({s})" for n, s in {"info_nce": NCE, "explicit_and_batch": _mix(NEG, NCE, 0.5), "pairwise": BI_PAIR, "pairwise_explicit": _mix(NEG, BI_PAIR, 0.5)}.items()), "X12 X13 X14 X15")
 def loss_single_vector(spark: SparkSession, d: str) -> DataFrame:
     """The same losses on dot products of one vector each."""
-    q = fx.query_tokens(spark, d).where("tok = 0").select(F.col("qid").alias("q"), F.col("e").alias("a"))
-    docs = fx.doc_tokens(spark, d).where("tok = 0").select(F.col("doc_id").alias("d"), F.col("e").alias("b"))
-    alls = docs.crossJoin(F.broadcast(q)).select("q", "d", V.dot(F.col("a"), F.col("b")).alias("s")).cache()  # ten queries
+    q = fx.query_tokens(spark, d).where("tok = 0").select(F.col("qid").alias("q"), F.array("e").alias("vectors"))
+    docs = fx.doc_tokens(spark, d).where("tok = 0").select(F.col("doc_id").alias("d"), F.array("e").alias("vectors"))
+    alls = maxsim(docs, q, "d", "q").withColumnRenamed("score", "s").cache()
     s, pos = alls.where("d < 10"), spark.range(10).select(F.col("id").alias("q"), F.col("id").alias("d"))
     neg = X.explicit_negatives(alls, pos, pos.select("q", ((F.col("q") + 17) % 50).alias("d")))
     nce, pair = X.info_nce(s, pos), X.pairwise(s, pos, 0.02)
@@ -205,7 +206,7 @@ def cluster_assigned(spark: SparkSession, d: str) -> DataFrame:
     return C.assign(table(spark, d, "embeddings"), "vec_id", "embedding", _label_centres(spark, d)).withColumn("distance2", F.round("distance2", 6))
 
 
-@REGISTRY("cluster_kmeans", None, "C1 C2 A12 V5")
+@REGISTRY("cluster_kmeans", None, "C1 C2 A12")
 def cluster_kmeans(spark: SparkSession, d: str) -> DataFrame:
     """k-means over all vectors; k from their number."""
     t = table(spark, d, "embeddings")

@@ -36,7 +36,7 @@ def inventory():
 
 
 # covered by readers, writers and helpers that tests/test_sources.py and tests/test_operators.py try on files and small tables
-BY_TESTS = {"S1", "S2", "S3", "S22", "S25", "K1", "K2", "K4", "K6", "K9", "P29", "F11", "PS12", "E14"}
+BY_TESTS = {"S1", "S2", "S3", "S22", "S25", "K1", "K2", "K4", "K6", "K9", "P29", "F11", "E14"}
 
 
 def test_inventory_is_covered():
