@@ -166,10 +166,10 @@ def fn_prefixed_columns(spark: SparkSession, d: str) -> DataFrame:
     return t.select([F.col(c).alias(f"query_{c}") for c in t.columns])
 
 
-@REGISTRY("fn_log_number", "SELECT p_partkey, CASE WHEN v <> 0 AND (abs(v) < 1e-3 OR abs(v) >= 1e4) THEN printf('%.6e', v) ELSE printf('%.6f', v) END AS shown FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_partkey / 4e6 WHEN 1 THEN p_partkey::DOUBLE ELSE p_partkey * 1024.0 END AS v FROM part)", "P29")
+@REGISTRY("fn_log_number", "SELECT p_partkey, CASE WHEN v <> 0 AND (abs(v) < 1e-3 OR abs(v) >= 1e4) THEN printf('%.6e', v) ELSE printf('%.6f', v) END AS shown FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_partkey / 3e7 WHEN 1 THEN p_partkey::DOUBLE ELSE p_partkey * 1024.0 END AS v FROM part)", "P29")
 def fn_log_number(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    v = F.when(k % 3 == 0, k / F.lit(4e6)).when(k % 3 == 1, k.cast("double")).otherwise(k * F.lit(1024.0))
+    v = F.when(k % 3 == 0, k / F.lit(3e7)).when(k % 3 == 1, k.cast("double")).otherwise(k * F.lit(1024.0))
     return table(spark, d, "part").select("p_partkey", S.log_number(v).alias("shown"))
 
 
