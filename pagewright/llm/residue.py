@@ -51,11 +51,11 @@ MESSAGES = (
     "text text text", "text text", "blah blah",
     "此处为示例文字", "示例文字", "占位文字", "占位符", "此处填写内容", "待补充", "内容待定",
 )
-#: Words of which filler is made.
+#: Words of which filler is made. Those of three letters or less that other languages use are left out.
 FILLER_WORDS = (
-    "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation "
-    "ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non "
-    "proident sunt culpa qui officia deserunt mollit anim id est laborum foo bar baz qux quux corge blah bla asdf qwerty"
+    "lorem ipsum dolor amet consectetur adipiscing adipisicing elit eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation "
+    "ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat "
+    "proident culpa officia deserunt mollit anim laborum foo bar baz qux quux corge blah asdf qwerty"
 ).split()
 #: Lines that stand on pages whatever they hold.
 FURNITURE = re.compile(r"(?i)^\W*(?:[^|]{1,40}(?:\|[^|]{1,40})+|page \d+(?: of \d+)?|seite \d+(?: von \d+)?|página \d+(?: de \d+)?|record \d+/\d+|all rights (?:kept|reserved)|back to top|heading \d+|annex \d+|copyright.*|©.*|\W*\d*\W*)\W*$")
@@ -72,7 +72,7 @@ EXPLAINS = re.compile(
 SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
 NOT_WORD = re.compile(r"[\W\d_]+")
 #: Shares: of a fragment that is marked, of the text that is residue, and of the text that ends in residue after an opening.
-FRAGMENT_SHARE, TEXT_SHARE, END_SHARE = 0.6, 0.5, 0.08
+FRAGMENT_SHARE, TEXT_SHARE, END_SHARE = 0.6, 0.5, 0.05
 
 
 @lru_cache(maxsize=1)
@@ -104,16 +104,17 @@ def open_field(text: str) -> str | None:
 
 
 def residue_share(text: str) -> tuple[float, bool]:
-    """Share of the text's letters in residue, without title and furniture, and whether the text ends in residue."""
+    """Share of the text's letters in residue, without title and furniture, and whether the text's last paragraph is residue."""
     text = re.sub(r"-[ \t]*\n[ \t]*(?=[a-zà-ÿ])", "", text)
-    fragments = []
-    for m in SENTENCE.finditer(text.lower()):
-        words = NOT_WORD.sub(" ", m.group()).strip()
-        if words and not FURNITURE.match(m.group().strip()):
-            fragments.append((words, m.group().rstrip()[-1] in ".!?。！？"))
+    fragments = []  # words, ends like a sentence, number of the paragraph
+    for number, paragraph in enumerate(re.split(r"\n\s*\n", text.lower())):
+        for m in SENTENCE.finditer(paragraph):
+            words = NOT_WORD.sub(" ", m.group()).strip()
+            if words and not FURNITURE.match(m.group().strip()):
+                fragments.append((words, m.group().rstrip()[-1] in ".!?。！？", number))
     if not fragments:
         return 0.0, False
-    hay, at = " " + " ".join(w for w, _ in fragments) + " ", 1
+    hay, at = " " + " ".join(f[0] for f in fragments) + " ", 1
     spans = sorted((end - n + 1, end + 1) for end, n in automaton().iter(hay) if n)
     if not spans and " xx" not in hay:
         return 0.0, False
@@ -123,19 +124,19 @@ def residue_share(text: str) -> tuple[float, bool]:
     for m in re.finditer(r"(?<= )x+(?= )", hay):
         if _filled_in(m.group()):
             covered[m.start() : m.end() + 1] = b"\1" * (m.end() + 1 - m.start())
-    total = residue = 0
-    ends = False
-    for k, (words, _) in enumerate(fragments):
-        n = len(words)
-        share = sum(covered[at : at + n]) / n
+    total = residue = tail = tail_covered = 0
+    for k, (words, stops, number) in enumerate(fragments):
+        n, marked = len(words), sum(covered[at : at + len(words)])
         at += n + 1
-        ends = share >= FRAGMENT_SHARE
-        if ends:
+        if number == fragments[-1][2]:
+            tail, tail_covered = tail + n, tail_covered + marked
+        if marked >= FRAGMENT_SHARE * n:
             residue += n
-        elif k == 0 and len(fragments) > 1 and n <= 90 and not fragments[0][1]:
+        elif k == 0 and len(fragments) > 1 and n <= 90 and not stops:
             continue  # a title
         total += n
-    return residue / total if total else 0.0, ends
+    ends = tail_covered >= TEXT_SHARE * tail
+    return (max(residue, tail_covered) if ends else residue) / total if total else 0.0, ends
 
 
 def judge(text: str | None) -> tuple[str, float] | None:

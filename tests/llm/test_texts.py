@@ -118,11 +118,13 @@ CASES = [
     "Home | Catalogue | Login\n\nToo many requests. Slow down and retry in 320 seconds.\n\nContact desk | Imprint 2001", "Zilomere panel\n\n503 Service Unavailable\n\nPage 1 of 1", "Lorem ipsum dolor sit amet, consectetur sed elit magna.", "TBD\n\nTBD\n\nTBD", "xxxx xxxx xxx xxxxxxx xx xxxx. Xxx xxxx xxxxx.",
     "Dear {{client_name}},\nthe amount due is [Insert Amount here] units.", REPORT + "\nPrepared for <<author>> on file.", REPORT + "\nSubject: «ref no»", "Signed, @@OFFICE@@", "Subject: [REF NO TO BE ADDED]", "Dear __SIGNATORY__,", "Prepared for {0} on {1}.",
     "harbour levy in the old town\n\nAccording to the Zilomere index, each fire code was examined by the review board.\n\nPlease enable JavaScript to view this document.",
+    "harbour levy in the old town\n\nCosts reached 333 units, of which the planning desk financed about 2 percent.\n\nTraceback (most recent call last):\n  File \"render.py\", line 28, in page\nKeyError: 'signatory'",
+    "Zilomere trial\n\nCosts reached 333 units, of which the planning desk financed 2 percent.\n\nAccess to this file was refused. You lack the rights to open it. Reference ID b22d9a3baf",
 ]
 SOUND = [
     None, "", "   \n", REPORT, REPORT + " Access denied was the most frequent entry in the gate log of that month.", "The manual says a notice such as 'please enable JavaScript' confuses older readers, so it was dropped. " + REPORT,
     "Letter templates mark a field with double braces, for instance {{name}}, and the clerk replaces it before posting. " + REPORT, "In the shell listing, ${HOME} stands for the folder of the user running the job. " + REPORT,
-    "Let S = {1, 2, 92} and let f(x) = \\frac{a}{b} for all x. " + REPORT, "See [Table 3], [Note 9] and <ref 2> for the rates; amounts are in units. " + REPORT, "A 500 internal server error delayed the upload by 119 minutes, after which all pages arrived.", "El caudal de la cuenca se revisó en 2008 y bajó un 772 por ciento.",
+    "Let S = {1, 2, 92} and let f(x) = \\frac{a}{b} for all x. " + REPORT, "See [Table 3], [Note 9] and <ref 2> for the rates; amounts are in units. " + REPORT, "A 500 internal server error delayed the upload by 119 minutes, after which all pages arrived.", "Costs reached 333 units.\n\nhttps://example.invalid/f?id=7&v=2", "El caudal de la cuenca se revisó en 2008 y bajó un 772 por ciento.",
 ]
 
 
