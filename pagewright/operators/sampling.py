@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.session import cut
@@ -24,7 +24,8 @@ def global_rank(df: DataFrame, order: list[Column], by: list[str] | None = None,
     names = [f"__o{i}" for i in range(len(order))]
     done = cut(placed.repartitionByRange(*by, *names).sortWithinPartitions(*by, *names).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
     part = done.groupBy("__part").agg(F.min("__at").alias("__low"), F.count("*").alias("__n"))
-    before = part.alias("x").join(part.alias("y"), F.col("y.__part") < F.col("x.__part"), "left").groupBy("x.__part", "x.__low").agg(F.coalesce(F.sum("y.__n"), F.lit(0)).alias("__before"))
+    earlier = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
+    before = part.select("__part", "__low", F.coalesce(earlier, F.lit(0)).alias("__before"))
     over_all = done.join(F.broadcast(before), "__part").withColumn(name, F.col("__at") - F.col("__low") + F.col("__before"))  # a row per partition
     if by:
         first = over_all.groupBy(*keys).agg(F.min(name).alias("__first"))

@@ -12,13 +12,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.vectors import dot
+from pagewright.operators.sampling import global_rank
 
-#: Vectors of queries that one block may hold: 4096 x 128 doubles are 4 MB.
-BLOCK_VECTORS = 4096
+#: Vectors of queries that one block may hold: 1024 x 128 doubles are 1 MB.
+BLOCK_VECTORS = 1024
+#: Numbers that one matrix product may have at a time (64 MB).
+PRODUCT_CELLS = 8_000_000
 ROUND = 6
 
 
@@ -53,6 +57,23 @@ def _list_matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat.reshape(rows, -1) if rows else np.empty((0, 1)), offsets - first
 
 
+def _parts(at: np.ndarray, n_queries: int) -> Iterator[tuple[int, int]]:
+    """Runs of documents whose products with the queries have at most PRODUCT_CELLS numbers, or one document."""
+    begin = 0
+    while begin < len(at) - 1:
+        end = int(np.searchsorted(at, at[begin] + max(1, PRODUCT_CELLS // n_queries), "right")) - 1
+        end = min(max(end, begin + 1), len(at) - 1)
+        yield begin, end
+        begin = end
+
+
+def _score_part(d: np.ndarray, at: np.ndarray, padded: np.ndarray, q: np.ndarray, q_at: np.ndarray) -> np.ndarray:
+    """Scores (documents x queries) of the documents that begin at ``at`` in ``d``."""
+    best = np.maximum.reduceat(d @ q.T, at, axis=0)
+    best[padded] = np.maximum(best[padded], 0.0)
+    return np.add.reduceat(best, q_at, axis=1)
+
+
 def maxsim(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, top_k: int | None = None, zero_pad_block: int | None = None, block_vectors: int = BLOCK_VECTORS) -> DataFrame:
     """(query_key, doc_key, score): the sum over query tokens of the best dot product with a document token.
 
@@ -66,8 +87,7 @@ def maxsim(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, to
     packed = docs.where(F.size("vectors") > 0).select(doc_key, "vectors")
     if zero_pad_block:
         # the length of the block's longest document goes with each document
-        place = F.floor((F.row_number().over(Window.orderBy(doc_key)) - 1) / zero_pad_block)
-        lengths = packed.select(doc_key, F.size("vectors").alias("n")).withColumn("block", place)
+        lengths = global_rank(packed.select(doc_key, F.size("vectors").alias("n")), [F.col(doc_key)]).withColumn("block", F.floor(F.col("rank") / zero_pad_block))
         longest = lengths.select(doc_key, (F.max("n").over(Window.partitionBy("block")) > F.col("n")).alias("padded"))
         packed = packed.join(longest, doc_key)
     else:
@@ -82,16 +102,18 @@ def maxsim(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, to
                 if not batch.num_rows:
                     continue
                 d, at = _list_matrix(batch.column(1))
-                best = np.maximum.reduceat(d @ q.T, at[:-1], axis=0)
                 padded = batch.column(2).to_numpy(zero_copy_only=False)
-                best[padded] = np.maximum(best[padded], 0.0)
-                scores = np.add.reduceat(best, q_at, axis=1)  # documents x queries
+                scores = np.concatenate([_score_part(d[at[a] : at[b]], at[a:b] - at[a], padded[a:b], q, q_at) for a, b in _parts(at, len(q))])  # documents x queries
                 docs_here = batch.column(0)
-                rank = pa.array(docs_here).to_pandas().rank(method="first").to_numpy()
-                for k in range(scores.shape[1]):
-                    s = scores[:, k]
-                    pick = np.lexsort((rank, -np.round(s, ROUND)))[:top_k] if top_k else np.arange(len(s))
-                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(np.full(len(pick), k))), docs_here.take(pa.array(pick)), pa.array(s[pick])], names=[query_key, doc_key, "score"])
+                order = np.empty(len(docs_here), np.int64)
+                order[pc.sort_indices(docs_here).to_numpy()] = np.arange(len(docs_here))
+                if top_k:
+                    ties = np.broadcast_to(order[:, None], scores.shape)
+                    pick = np.lexsort((ties, -np.round(scores, ROUND)), axis=0)[:top_k]
+                else:
+                    pick = np.broadcast_to(np.arange(len(scores))[:, None], scores.shape)
+                which = np.broadcast_to(np.arange(scores.shape[1])[None, :], pick.shape).ravel()
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(which)), docs_here.take(pa.array(pick.ravel())), pa.array(scores[pick.ravel(), which])], names=[query_key, doc_key, "score"])
 
         found.append(packed.mapInArrow(run, kinds))
     if not found:

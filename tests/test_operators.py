@@ -94,14 +94,15 @@ def test_metrics_literal(spark):
     assert sorted((r.d, r["rank"]) for r in ranking.deduplicated(twice, "q", "d").collect()) == [("a", 1), ("b", 2), ("x", 0)]
 
 
-def test_maxsim(spark):
+def test_maxsim(spark, monkeypatch):
     rnd = np.random.default_rng(1)
     docs = {i: rnd.normal(size=(rnd.integers(1, 6), 5)) for i in range(40)}
     queries = {i: rnd.normal(size=(rnd.integers(1, 4), 5)) for i in range(7)}
     d = spark.createDataFrame([(i, [[float(x) for x in v] for v in m]) for i, m in docs.items()] + [(99, [])], "doc long, vectors array<array<double>>")
     q = spark.createDataFrame([(i, [[float(x) for x in v] for v in m]) for i, m in queries.items()], "q long, vectors array<array<double>>")
     want = {(i, j): (queries[i] @ docs[j].T).max(axis=1).sum() for i in queries for j in docs}
-    for block in (2, 4096):
+    for block, cells in ((2, 8), (4096, 8_000_000)):
+        monkeypatch.setattr(vector, "PRODUCT_CELLS", cells)
         got = {(r.q, r.doc): r.score for r in vector.maxsim(d, q, "doc", "q", block_vectors=block).collect()}
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
         top = {(r.q, r.doc) for r in vector.maxsim(d, q, "doc", "q", 3, block_vectors=block).collect()}
