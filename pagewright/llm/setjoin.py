@@ -70,7 +70,6 @@ def similar_sets(sets: DataFrame, ratio: Ratio, sides: tuple[str, str] | None =
     level = base.select(*kept, first.alias("x")).select("x.block", "x.last", *kept)
     k, found = 1, []
     while True:
-        level = cut(level)
         ways = [F.max(s).alias(s) for s in carry]
         count = level.groupBy("block").agg(F.count("*").alias("n"), *ways).where(F.col("n") > 1)
         for s in carry:  # a block that one side never has makes no pair
