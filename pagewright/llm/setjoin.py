@@ -62,26 +62,29 @@ def similar_sets(sets: DataFrame, ratio: Ratio, sides: tuple[str, str] | None =
     carry = list(sides or ())
     base = cut(ordered(sets, carry))
     size = F.col("size")
-    long_skip = size - F.ceil(p * size / F.lit(float(q)) - 1e-9).cast("int")
+    smallest = F.ceil(p * size / F.lit(float(q)) - 1e-9).cast("int")  # members of the smallest possible partner
     short_skip = size - F.ceil(2 * p * size / F.lit(float(p + q)) - 1e-9).cast("int")
-    base = base.withColumn("skip", long_skip).withColumn("skip_short", short_skip)
+    base = base.withColumn("skip", size - smallest).withColumn("skip_short", short_skip)
     kept = ["set_id", "toks", "size", "skip", "skip_short", *carry]
     first = F.explode(F.transform(F.slice("toks", 1, F.col("skip") + 1), lambda t, i: F.struct(F.xxhash64(t).alias("block"), i.alias("last"))))
     level = base.select(*kept, first.alias("x")).select("x.block", "x.last", *kept)
     k, found = 1, []
     while True:
         ways = [F.max(s).alias(s) for s in carry]
-        count = level.groupBy("block").agg(F.count("*").alias("n"), *ways).where(F.col("n") > 1)
+        count = level.groupBy("block").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"), *ways).where(F.col("n") > 1)
         for s in carry:  # a block that one side never has makes no pair
             count = count.where(s)
-        count = count.select("block", (F.col("n") > hot).alias("is_hot"))
-        marked = cut(level.join(count, "block"))
+        marked = level.drop("skip").join(count.select("block", (F.col("n") > hot).alias("is_hot"), "low", "high"), "block")
+        # partners in the block have at least ``low`` members: what a set may lack for the smallest of them is all it may lack for any
+        skip = size - F.greatest(smallest, _need(size, F.greatest("low", smallest), ratio))
+        marked = cut(marked.withColumn("skip", skip).where(F.col("last") + 1 - k <= F.col("skip")))
         cold, busy = marked.where(~F.col("is_hot")), marked.where("is_hot")
         found.append(_pairs(cold, ratio, sides, k, only))
         if busy.isEmpty():
             break
         if star:
             found.append(_stars(busy, ratio, k))
+            busy = busy.where(_need(F.col("high"), F.col("low"), ratio) > k)  # else all its sets are linked
         else:
             found.append(_proven(busy, ratio, sides, k, only))
         ahead = F.sequence(F.col("last") + 1, F.least(size, F.col("skip") + k + 1) - 1)
