@@ -17,9 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Messages by language. Numbers count as blanks between words.
-MESSAGES = (
-    # scripts and the like must be allowed
+#: Notices that scripts and the like must be allowed, by language. Here and below numbers count as blanks between words.
+SCRIPT_NOTICES = (
     "javascript is disabled", "javascript is turned off", "javascript is not enabled", "javascript is required", "javascript required", "requires javascript",
     "enable javascript", "please enable javascript", "please enable javascript to view this document", "turn on javascript", "turn on javascript in your browser settings and reload",
     "you need to enable javascript to run this app", "this site requires javascript", "this page requires javascript", "some parts of the reader will not load without it",
@@ -31,7 +30,9 @@ MESSAGES = (
     "active javascript en su navegador para ver el contenido", "active javascript en su navegador", "habilite javascript", "active las cookies", "para ver el contenido", "para ver esta página", "su navegador no admite",
     "bitte aktivieren sie javascript um diese seite anzuzeigen", "bitte aktivieren sie javascript", "bitte aktivieren sie cookies", "javascript ist deaktiviert", "um diese seite anzuzeigen", "ihr browser unterstützt",
     "请启用浏览器的", "javascript 功能后再查看本页", "功能后再查看本页", "请启用 javascript", "请启用javascript", "请在浏览器中启用", "您的浏览器不支持", "请开启 cookie", "浏览器已禁用",
-    # errors of servers and viewers
+)
+#: Errors of servers, viewers and programs, by language.
+ERROR_MESSAGES = (
     "too many requests", "slow down and retry in", "please try again later", "try again later", "seconds", "the site is down for maintenance", "down for maintenance", "please come back later", "under maintenance", "we ll be back soon",
     "this document cannot be shown by your viewer", "cannot be shown by your viewer", "update the viewer and open the file again", "if this message is not eventually replaced", "your pdf viewer may not be able to display this type of document",
     "oops we can t find that page", "we can t find that page", "try the search box or go back to the start page error", "the page you requested could not be found", "the page you are looking for", "does not exist", "has been moved or deleted", "page not found", "file not found",
@@ -44,7 +45,9 @@ MESSAGES = (
     "die gesuchte seite existiert nicht oder wurde verschoben", "die gesuchte seite existiert nicht", "seite nicht gefunden", "interner serverfehler", "zugriff verweigert", "dienst nicht verfügbar", "ein fehler ist aufgetreten", "fehler", "bitte versuchen sie es später erneut", "ihre sitzung ist abgelaufen",
     "la página solicitada no está disponible en este momento", "la página solicitada", "página no encontrada", "no está disponible en este momento", "acceso denegado", "error interno del servidor", "servicio no disponible", "se ha producido un error", "código", "inténtelo de nuevo más tarde", "su sesión ha caducado",
     "抱歉", "您访问的页面不存在或已被删除", "您访问的页面", "页面不存在", "错误代码", "服务器内部错误", "服务器错误", "访问被拒绝", "无权访问", "服务不可用", "请稍后再试", "网站维护中", "会话已过期", "加载失败",
-    # filler
+)
+#: Sentences that stand for a text to come, by language.
+FILLER_PHRASES = (
     "placeholder copy only", "placeholder text", "placeholder", "sample text for this column", "sample text", "dummy body copy for layout tests do not read", "dummy text", "dummy body copy", "filler text", "text goes here", "your text here", "content goes here", "insert text here", "replace this text", "do not read", "for layout tests",
     "coming soon", "the chapter will be filled in later", "will be filled in later", "to be completed", "to be determined", "to be added", "to do", "tbd", "tba", "todo", "this section is under construction", "under construction", "this page intentionally left blank",
     "aquí irá el texto definitivo", "texto de relleno", "texto de ejemplo", "texto provisional", "texte provisoire à remplacer", "texte provisoire", "faux texte", "texte à venir", "texte d exemple", "platzhalter für den berichtstext", "platzhalter", "platzhaltertext", "blindtext", "beispieltext", "bitte ersetzen", "mustertext",
@@ -79,7 +82,7 @@ FRAGMENT_SHARE, TEXT_SHARE, END_SHARE = 0.6, 0.5, 0.05
 def automaton() -> ahocorasick.Automaton:
     """All phrases and filler words; blanks around them keep to word bounds, except in scripts without blanks."""
     a = ahocorasick.Automaton()
-    for p in (*MESSAGES, *FILLER_WORDS):
+    for p in (*SCRIPT_NOTICES, *ERROR_MESSAGES, *FILLER_PHRASES, *FILLER_WORDS):
         p = NOT_WORD.sub(" ", p).strip()
         bounded = p if "一" <= p[-1] <= "鿿" or "一" <= p[0] <= "鿿" else f" {p} "
         a.add_word(bounded, len(bounded))
