@@ -76,9 +76,13 @@ def read_train_parts(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/train-*.parquet")
 
 
+#: Fixed value: how result files are named.
+RESULT_NAME = r"query_list_text_(\w+?)_with_pos_target"
+
+
 def result_category(file_name: Column) -> Column:
     """Category of a result file's name, else its stem."""
-    return F.coalesce(F.nullif(F.regexp_extract(file_name, r"query_list_text_(\w+?)_with_pos_target", 1), F.lit("")), file_stem(file_name))
+    return F.coalesce(F.nullif(F.regexp_extract(file_name, RESULT_NAME, 1), F.lit("")), file_stem(file_name))
 
 
 def read_retrieved(spark: SparkSession, folder: str, schema: str) -> DataFrame:
