@@ -47,14 +47,20 @@ def orphan_references(refs: DataFrame, spans: DataFrame) -> DataFrame:
     """The references none of whose names is alive at their time.
 
     ``refs``: src_table, src_field, row_id, ref_name, at, names (the names of which one must be alive; null ones are ignored).
-    Result: src_table, src_field, row_id, ref_name, at; one row per row, field and name however often it is repeated.
+    Result: src_table, src_field, row_id, ref_name, at; one row per row, field and name however often it is repeated. A reference without
+    any name is none.
+
+    Names are tried one after another: an anti-join on the first leaves few rows for the next.
     """
     key = ["src_table", "src_field", "row_id", "ref_name", "at"]
-    asked = cut(refs.select(*key, F.explode("names").alias("name")).where("name is not null"))  # read three times below
-    found = alive(asked, spans).withColumn("found", F.lit(True))
-    asked, found = asked.alias("r"), found.alias("f")
-    met = asked.join(found, (F.col("r.name") == F.col("f.name")) & F.col("r.at").eqNullSafe(F.col("f.at")), "left")
-    return met.groupBy(*[F.col(f"r.{k}").alias(k) for k in key]).agg(F.max(F.coalesce("found", F.lit(False))).alias("found")).where(~F.col("found")).drop("found")
+    given = F.filter("names", lambda n: n.isNotNull())
+    rest = cut(refs.select(*key, given.alias("names")).where(F.size("names") > 0))
+    most = rest.agg(F.max(F.size("names"))).first()[0] or 0
+    found = cut(alive(rest.select("at", F.explode("names").alias("name")), spans)).select(F.col("name").alias("__name"), F.col("at").alias("__at"))
+    for i in range(most):
+        name = F.get("names", F.lit(i))
+        rest = rest.join(found, (name == F.col("__name")) & F.col("at").eqNullSafe(F.col("__at")), "left_anti")
+    return rest.select(*key).distinct()
 
 
 def cascade(direct: DataFrame, edges: DataFrame) -> DataFrame:
