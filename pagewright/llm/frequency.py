@@ -16,10 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEPARATOR = "\x01"
+#: Stands for a null record, which counts occurrences but is no record.
+NO_RECORD = "\x00"
 
 
 def _prefixes(suffixes: list[str], depth: int) -> list[tuple[str, ...]]:
@@ -35,13 +38,14 @@ def _intervals(suffixes: pa.Array, records: pa.Array, weights: np.ndarray, depth
     earlier = np.full(rows, -1)
     same = code[order[1:]] == code[order[:-1]]
     earlier[order[1:][same]] = order[:-1][same]
+    named = pc.not_equal(records, NO_RECORD).to_numpy(zero_copy_only=False)
     names = ["gram", "n", "occurrences", "records", "record"]
     for n in range(1, depth + 1):
         if split is None:
             text = suffixes
             new = np.ones(rows, bool)
             if rows > 1:
-                new[1:] = pa.compute.not_equal(suffixes.slice(1), suffixes.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
+                new[1:] = pc.not_equal(suffixes.slice(1), suffixes.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
             long_enough = np.ones(rows, bool)
         else:
             grams = [SEPARATOR.join(s[:n]) for s in split]
@@ -51,7 +55,7 @@ def _intervals(suffixes: pa.Array, records: pa.Array, weights: np.ndarray, depth
         begin = np.nonzero(new)[0]
         start = begin[np.cumsum(new) - 1]
         again = earlier >= start  # an adjacency: the record stands in this interval already
-        occurrences, distinct = np.add.reduceat(weights, begin), np.add.reduceat((~again).astype(np.int64), begin)
+        occurrences, distinct = np.add.reduceat(weights, begin), np.add.reduceat((~again & named).astype(np.int64), begin)
         inner = long_enough[begin]
         inner[[0, -1]] = False
         at = begin[inner]
@@ -68,11 +72,11 @@ def _intervals(suffixes: pa.Array, records: pa.Array, weights: np.ndarray, depth
 def gram_frequencies(df: DataFrame, record: str, values: str, depth: int = 1) -> DataFrame:
     """(gram, n, occurrences, records) of all sequences of 1 to ``depth`` neighbouring values of ``values`` (an array of strings).
 
-    ``gram`` joins the values by \\x01. ``records`` counts distinct values of ``record``; rows whose ``record`` is null count as one
-    record. Null and empty values are left out before neighbours are formed; null and empty arrays give nothing. Repeated rows count as
+    ``gram`` joins the values by \\x01. ``records`` counts distinct values of ``record``; rows whose ``record`` is null
+    count as occurrences only. Null and empty values are left out before neighbours are formed; null and empty arrays give nothing. Repeated rows count as
     occurrences, and as the same record. Values must not hold \\x01.
     """
-    clean = df.select(F.coalesce(F.col(record).cast("string"), F.lit("")).alias("record"), F.filter(values, lambda x: x.isNotNull() & (x != "")).alias("vs"))
+    clean = df.select(F.coalesce(F.col(record).cast("string"), F.lit(NO_RECORD)).alias("record"), F.filter(values, lambda x: x.isNotNull() & (x != "")).alias("vs"))
     if depth == 1:
         suffix = F.explode("vs")
     else:
@@ -81,8 +85,6 @@ def gram_frequencies(df: DataFrame, record: str, values: str, depth: int = 1) ->
     in_order = rows.repartitionByRange("suffix", "record").sortWithinPartitions("suffix", "record")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for b in batches:
             if b.num_rows:
                 yield from _intervals(b.column(0), b.column(1), b.column(2).to_numpy(zero_copy_only=False).astype(np.int64), depth)
@@ -90,7 +92,7 @@ def gram_frequencies(df: DataFrame, record: str, values: str, depth: int = 1) ->
     parts = in_order.select("suffix", "record", "weight").mapInArrow(run, "gram string, n int, occurrences bigint, records bigint, record string")
     # by record first: a record may stand on both sides of a border
     by_record = parts.groupBy("gram", "n", "record").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-    return by_record.groupBy("gram", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum(F.coalesce("records", F.lit(1))).cast("bigint").alias("records"))
+    return by_record.groupBy("gram", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum(F.when(F.col("record") == NO_RECORD, 0).otherwise(F.coalesce("records", F.lit(1)))).cast("bigint").alias("records"))
 
 
 def mark_bands(freq: DataFrame, n_records: int, rare_below: int = 3, common_percent: int = 5) -> DataFrame:
