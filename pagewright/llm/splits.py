@@ -11,7 +11,9 @@ from pagewright.functions import text as tx
 from pagewright.llm import graph
 
 #: A group with at least this share of the records is placed on its own, so there are at most 1 / share of them. Smaller ones are hashed to SMALL_UNITS units.
-LARGE_SHARE, SMALL_UNITS, STRATA = 0.001, 1024, 32
+LARGE_SHARE, SMALL_UNITS = 0.001, 1024
+#: So many labels, the most frequent ones, are balanced each by itself. With more, each of the rest has less than 1 / LABELS of the records; those are balanced as one.
+LABELS = 1000
 
 
 def related_groups(df: DataFrame, key: str, entities: str, text: str) -> DataFrame:
@@ -41,14 +43,17 @@ def grouped_split(df: DataFrame, key: str, groups: DataFrame, label: Column, tar
     """(key, group_id, split_name) for every row of ``df``: groups stay whole, proportions follow ``targets`` (split_name, fraction) by label.
 
     ``groups`` is (group_id, key); records without a row there are groups of their own. Groups are gathered into units: those with at
-    least LARGE_SHARE of the records alone (no more than 1000), all others by hash (1024). Only label counts of units, over STRATA hashed
-    labels, reach the driver: at most 2024 x 32 numbers whatever the data. Null labels are one label. With one group, all is in one split.
+    least LARGE_SHARE of the records alone (no more than 1000), all others by hash (1024). Only label counts of units reach the driver, as
+    Arrow columns: at most 2024 x (LABELS + 1) numbers whatever the data. Null and empty labels are one label. With one group, all is in one split.
     """
     goals = sorted((r["split_name"], float(r["fraction"])) for r in targets.select("split_name", "fraction").collect())  # a fixed small table
     if not goals or len(goals) > 1000:
         raise ValueError("targets must have 1 to 1000 rows")
     fractions = np.array([f for _, f in goals]) / sum(f for _, f in goals)
-    rows = df.select(F.col(key).alias("k"), F.pmod(F.xxhash64(F.coalesce(label, F.lit(""))), F.lit(STRATA)).cast("int").alias("stratum"))
+    labelled = df.select(F.col(key).alias("k"), F.coalesce(label, F.lit("")).alias("label"))
+    frequent = labelled.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS).collect()
+    numbers = df.sparkSession.createDataFrame([(r["label"], i) for i, r in enumerate(frequent)], "label string, stratum int")  # at most LABELS rows
+    rows = labelled.join(F.broadcast(numbers), "label", "left").select("k", F.coalesce("stratum", F.lit(len(frequent))).alias("stratum"))
     g = groups.select(F.col(key).alias("k"), "group_id")
     rows = rows.join(g, "k", "left").withColumn("group_id", F.coalesce("group_id", F.col("k")))
     size = rows.groupBy("group_id").agg(F.count("*").alias("n"))
@@ -56,12 +61,10 @@ def grouped_split(df: DataFrame, key: str, groups: DataFrame, label: Column, tar
     large = size.where(F.col("n") >= max(2, LARGE_SHARE * n)).select("group_id", F.lit(True).alias("is_large"))  # at most 1000 rows
     small_unit = -1 - F.pmod(F.xxhash64("group_id"), F.lit(SMALL_UNITS))
     units = rows.join(F.broadcast(large), "group_id", "left").withColumn("unit", F.when(F.col("is_large"), F.col("group_id")).otherwise(small_unit))
-    counts = units.groupBy("unit", "stratum").agg(F.count("*").alias("n")).collect()
-    names = sorted({c["unit"] for c in counts})
-    at = {u: i for i, u in enumerate(names)}
-    table = np.zeros((len(names), STRATA))
-    for c in counts:
-        table[at[c["unit"]], c["stratum"]] += c["n"]
+    counts = units.groupBy("unit", "stratum").agg(F.count("*").alias("n")).toArrow()
+    names, at = np.unique(counts["unit"].to_numpy(), return_inverse=True)
+    table = np.zeros((len(names), len(frequent) + 1))
+    table[at, counts["stratum"].to_numpy()] = counts["n"].to_numpy()
     chosen = place(table, fractions)
     schema = T.StructType([T.StructField("unit", T.LongType()), T.StructField("split_name", T.StringType())])
     placed = df.sparkSession.createDataFrame([(int(u), goals[chosen[i]][0]) for i, u in enumerate(names)], schema)  # at most 2024 rows
