@@ -8,6 +8,7 @@ explains such fields. Long reports that quote or mention a message keep a low sh
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -68,10 +69,18 @@ FIELD = re.compile(
     rf"|«\s*{NAME}\s*»|<(?:enter|insert|your|add) {NAME}>|\[(?:insert|enter|your|add|type) [^\[\]\n]{{1,60}}\]|\[[^\[\]\n]{{1,60}} (?:to be added|to be completed|to be inserted|here|tbd|goes here)\]|(?<![\\\w{{$]) ?\{{\d\}}(?!\{{)",
     re.I,
 )
-#: A sentence with one of these explains fields and holds none.
+#: Phrases that explain fields where they stand before a field in its sentence, and where they follow it.
 EXPLAINS = re.compile(
-    r"(?i)for instance|for example|e\.g\.|such as|stands for|mark a field|marks a field|double braces|placeholder|template|syntax|variable|listing|written as|\\frac|let [a-z] =|zum beispiel|etwa|vorlage|par exemple|modèle|por ejemplo|plantilla|例如|模板|表示|[`‘“\"']\s*$"
+    r"(?i)\bfor\s+(?:instance|example)\b|\be\.\s?g\.|\bstands?\s+for\b|\bmarks?\s+(?:a|the|each|every)\s+(?:\w+\s+)?fields?\b|\b(?:double|curly)\s+(?:braces|brackets)\b|\bwritten\s+as\b|\\frac|\blet\s+[a-z]\s+="
+    r"|\b(?:fields?|marks|tags|variables|tokens|placeholders?)\s+(?:such\s+as|like|named|called)\b|\b(?:a|the|each|every)\s+(?:placeholder|variable)\s*[:,]?\s*$|\b(?:template\s+syntax|the\s+syntax)\b|\b(?:shell|code|program|source)\s+listing\b"
+    r"|\btemplates?\s+(?:mark|use|write|contain|hold|show|put)s?\b|\bin\s+(?:a|the|our|each|every|such\s+a|letter|mail)\s+templates?\b"
+    r"|\bzum\s+beispiel\b|\bz\.\s?b\.|\b(?:platzhalter|felder|feldern|variablen)\s+(?:wie|etwa)\b|\bin\s+(?:der|einer|jeder)\s+vorlage\b|\bvorlagen?\s+(?:kennzeichn|markier|enth|schreib|verwend)\w+|\bpar\s+exemple\b|\bp\.\s?ex\.|\bchamps?\s+(?:comme|tels?\s+que)\b|\bdans\s+(?:le|un|chaque)\s+modèle\b"
+    r"|\bpor\s+ejemplo\b|\bp\.\s?ej\.|\bcampos?\s+como\b|\ben\s+(?:la|una|cada)\s+plantilla\b|\blas\s+plantillas\s+(?:marcan|usan|contienen)\b|例如|比如|模板(?:中|里|用|使用)|占位符(?:如|用|为)|用[^，,]{0,12}表示"
 )
+EXPLAINS_AFTER = re.compile(r"(?i)\W{0,3}(?:stands?\s+for\b|is\s+an?\s+(?:variable|placeholder)\b|marks\b|steht\s+für\b|représente\b|representa\b|表示|代表)|[`’”\"']")
+QUOTE = re.compile(r"[`‘“\"']\s*$")
+#: Ends of sentences around a field; the dots of e.g., z.B., p.ex. and p.ej. are none.
+STOP = re.compile(r"(?i)\n|[。！？]|[!?](?=\s|$)|(?<!\be)(?<!\be\.g)(?<!\be\. g)(?<!\bz)(?<!\bz\.b)(?<!\bz\. b)(?<!\bp)(?<!\bp\.ex)(?<!\bp\. ex)(?<!\bp\.ej)(?<!\bp\. ej)\.(?=\s|$)")
 SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
 NOT_WORD = re.compile(r"[\W\d_]+")
 #: Shares: of a fragment that is marked, of the text that is residue, and of the text that ends in residue after an opening.
@@ -96,16 +105,39 @@ def _filled_in(word: str) -> bool:
 
 
 def open_field(text: str) -> str | None:
-    """The first template field that no sentence explains."""
+    """The first template field that its own sentence does not explain."""
+    stops = explained = None
     for m in FIELD.finditer(text):
-        begin = max(text.rfind("\n", 0, m.start()), text.rfind(". ", 0, m.start())) + 1
-        end = min((k for k in (text.find("\n", m.end()), text.find(". ", m.end())) if k >= 0), default=len(text))
-        around = text[max(begin, m.start() - 200) : m.start()], text[m.end() : min(end, m.end() + 200)]
-        if not EXPLAINS.search(around[0]) and not re.match(r"(?i)\W{0,2}(stands for|is a variable|marks)|[`’”\"']", around[1]):
+        if stops is None:
+            stops = [x.end() for x in STOP.finditer(text)]
+        k = bisect.bisect_right(stops, m.start())
+        begin, end = stops[k - 1] if k else 0, stops[bisect.bisect_left(stops, m.end())] if stops and stops[-1] >= m.end() else len(text)
+        if explained is None:
+            explained = [x.start() for x in EXPLAINS.finditer(text)]
+        k = bisect.bisect_left(explained, m.start())
+        before = k and explained[k - 1] >= begin or QUOTE.search(text[max(begin, m.start() - 20) : m.start()])
+        if not before and not EXPLAINS_AFTER.match(text[m.end() : min(end, m.end() + 200)]):
             return m.group()
     return None
 
 
+def _marked(hay: str) -> bytearray:
+    """1 at each character of ``hay`` (words between blanks) that stands in a phrase, a filler word or a filled-in word."""
+    covered = bytearray(len(hay))
+    for end, n in automaton().iter(hay):
+        if n:
+            covered[end - n + 1 : end + 1] = b"\1" * n
+    for m in re.finditer(r"(?<= )x+(?= )", hay):
+        if _filled_in(m.group()):
+            covered[m.start() : m.end() + 1] = b"\1" * (m.end() + 1 - m.start())
+    return covered
+
+
+def _is_furniture(line: str, words: str) -> bool:
+    """A line that stands on pages whatever they hold, and that no phrase covers."""
+    return bool(FURNITURE.match(line)) and sum(_marked(f" {words} ")[1:-1]) < FRAGMENT_SHARE * len(words)
+
+
 def residue_share(text: str) -> tuple[float, bool]:
     """Share of the text's letters in residue, without title and furniture, and whether the text's last paragraph is residue."""
     text = re.sub(r"-[ \t]*\n[ \t]*(?=[a-zà-ÿ])", "", text)
@@ -113,20 +145,14 @@ def residue_share(text: str) -> tuple[float, bool]:
     for number, paragraph in enumerate(re.split(r"\n\s*\n", text.lower())):
         for m in SENTENCE.finditer(paragraph):
             words = NOT_WORD.sub(" ", m.group()).strip()
-            if words and not FURNITURE.match(m.group().strip()):
+            if words and not _is_furniture(m.group().strip(), words):
                 fragments.append((words, m.group().rstrip()[-1] in ".!?。！？", number))
     if not fragments:
         return 0.0, False
     hay, at = " " + " ".join(f[0] for f in fragments) + " ", 1
-    spans = sorted((end - n + 1, end + 1) for end, n in automaton().iter(hay) if n)
-    if not spans and " xx" not in hay:
+    covered = _marked(hay)
+    if not any(covered):
         return 0.0, False
-    covered = bytearray(len(hay))
-    for a, b in spans:
-        covered[a:b] = b"\1" * (b - a)
-    for m in re.finditer(r"(?<= )x+(?= )", hay):
-        if _filled_in(m.group()):
-            covered[m.start() : m.end() + 1] = b"\1" * (m.end() + 1 - m.start())
     total = residue = tail = tail_covered = 0
     for k, (words, stops, number) in enumerate(fragments):
         n, marked = len(words), sum(covered[at : at + len(words)])
