@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -48,20 +50,56 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+#: Tables written by ``cut`` and not yet removed, and the folder they stand in, by the id of their application.
+_WRITTEN: dict[str, set[str]] = {}
+_FOLDER: dict[str, str] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder of this application below the session's ``spark.checkpoint.dir``. A temporary one only where none is set on one machine."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDER:
+        given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if given is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            given = tempfile.mkdtemp(prefix="pagewright-")
+        _FOLDER[app], _WRITTEN[app] = f"{given.rstrip('/')}/pagewright-{app}", set()
+        atexit.register(_sweep, spark, app)
+    return _FOLDER[app]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that all executors share and return a plan that reads it.
+    """Write ``df`` as a table in the shared folder and return a plan that reads it: lineage ends there, and a lost executor costs no more than a read.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where none is set (tests, one machine) a temporary one is taken.
-    The returned plan forgets the estimated size of ``df``: estimates of joins are products, and over the rounds of a loop they would
-    grow to numbers of millions of digits. Adaptive execution goes by the sizes it meets.
+    Tables are removed by ``drop``, or all together when the driver ends.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        given = spark.conf.get("spark.checkpoint.dir", None)
-        if given is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="pagewright-"))
-    kept = df.checkpoint(eager=True)
-    plan = kept._jdf.queryExecution()
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), kept._jdf.schema(), False), spark)
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN[spark.sparkContext.applicationId].add(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.cut_path = path
+    return kept
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Remove tables that ``cut`` has returned and that no later plan reads. Anything else is left alone."""
+    for df in tables:
+        path = getattr(df, "cut_path", None)
+        if path and path in _WRITTEN.get(df.sparkSession.sparkContext.applicationId, ()):
+            _remove(df.sparkSession, path)
+            _WRITTEN[df.sparkSession.sparkContext.applicationId].discard(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _sweep(spark: SparkSession, app: str) -> None:
+    """Remove what is left of an application's tables, if its driver can still be asked."""
+    try:
+        _remove(spark, _FOLDER[app])
+    except Exception:  # the session has ended before: the folder's owner cleans up
+        return
