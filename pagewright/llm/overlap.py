@@ -44,34 +44,50 @@ def overlap(common: Column, size_a: Column, size_b: Column) -> Column:
     return common / (size_a + size_b - common)
 
 
-def similar_classes(sets: DataFrame, ratio: setjoin.Ratio, sides: tuple[str, str] | None = None, small: int = SMALL_SET) -> DataFrame:
+def similar_classes(sets: DataFrame, ratio: setjoin.Ratio, sides: tuple[str, str] | None = None, small: int = SMALL_SET, **kw) -> DataFrame:
     """(a, b, common, size_a, size_b): pairs of distinct sets that overlap by at least ``ratio``."""
     p, q = ratio
-    large = setjoin.similar_sets(sets, ratio, sides, only=F.greatest("size_a", "size_b") > small)
+    large = setjoin.similar_sets(sets, ratio, sides, larger_than=small, **kw)
     found = _subset_pairs(sets, ratio, sides, small).unionByName(large)
     return found.where(F.col("common") * (p + q) >= (F.col("size_a") + F.col("size_b")) * p)
 
 
-def similar_records(records: DataFrame, ratio: setjoin.Ratio, across: bool, small: int = SMALL_SET) -> DataFrame:
+def _classed(records: DataFrame, across: bool) -> tuple[DataFrame, DataFrame, tuple[str, str] | None]:
+    """Membership and distinct sets, both cut, and the names of the sides' columns."""
+    member, sets = setjoin.classes(records, "id", "members", ("name", *(["side"] if across else [])))
+    member = cut(member)
+    if not across:
+        return member, cut(sets), None
+    of = member.groupBy("set_id").agg(F.max("side").alias("has_left"), F.max(~F.col("side")).alias("has_right"))
+    return member, cut(sets.join(of, "set_id")), ("has_left", "has_right")
+
+
+def similar_records(records: DataFrame, ratio: setjoin.Ratio, across: bool, small: int = SMALL_SET, **kw) -> DataFrame:
     """(id_a, id_b, overlap) with id_a < id_b: pairs of records with different names whose sets overlap by at least ``ratio``.
 
     ``records``: id (unique integer), name, members (array of strings or integers), and, for ``across``, side (boolean). With ``across``
     only pairs with one record of each side are given. A null name differs from every other name but equals another null. Null members
-    are ignored; null and empty sets are in no pair. Records with equal sets are paired here at the end, not in the join.
+    are ignored; null and empty sets are in no pair. Records with equal sets are paired here at the end, chunk by chunk, not in the join.
     """
-    keyed = records.select(F.struct("id", "name", *(["side"] if across else [])).alias("rec"), "members")
-    member, sets = setjoin.classes(keyed, "rec", "members")
-    member = cut(member.select("set_id", "rec.*"))
-    sides = None
+    member, sets, sides = _classed(records, across)
+    pairs = similar_classes(sets, ratio, sides, small, **kw).select("a", "b", overlap(F.col("common"), F.col("size_a"), F.col("size_b")).alias("overlap"))
+    same = sets.where("n > 1").select(F.col("set_id").alias("a"), F.col("set_id").alias("b"), F.lit(1.0).alias("overlap"))
+    x, y = (member.select(F.col("set_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in member.columns if c != "set_id"]) for s in "ab")
+    wide = setjoin.with_copies(pairs.unionByName(same), x, y)
+    wide = wide.where(~F.col("name_a").eqNullSafe(F.col("name_b")) & ((F.col("a") != F.col("b")) | (F.col("id_a") < F.col("id_b"))))
     if across:
-        of = member.groupBy("set_id").agg(F.max("side").alias("has_left"), F.max(~F.col("side")).alias("has_right"))
-        sets, sides = sets.join(of, "set_id"), ("has_left", "has_right")
-    sets = cut(sets)
-    pairs = similar_classes(sets, ratio, sides, small).select("a", "b", overlap(F.col("common"), F.col("size_a"), F.col("size_b")).alias("overlap"))
-    same = member.groupBy("set_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("set_id").alias("a"), F.col("set_id").alias("b"), F.lit(1.0).alias("overlap"))
-    x, y = (member.select(F.col("set_id").alias(f"set_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in member.columns if c != "set_id"]) for s in "xy")
-    wide = pairs.unionByName(same).join(x, F.col("a") == F.col("set_x")).join(y, F.col("b") == F.col("set_y"))
-    wide = wide.where(~F.col("name_x").eqNullSafe(F.col("name_y")) & ((F.col("a") != F.col("b")) | (F.col("id_x") < F.col("id_y"))))
-    if across:
-        wide = wide.where(F.col("side_x") != F.col("side_y"))
-    return wide.select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"), "overlap")
+        wide = wide.where(F.col("side_a") != F.col("side_b"))
+    return wide.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "overlap")
+
+
+def linked_records(records: DataFrame, ratio: setjoin.Ratio, across: bool, small: int = SMALL_SET, **kw) -> DataFrame:
+    """(id, class_id, n_links): the compact form of ``similar_records``, one row for each record with a set.
+
+    Records with equal sets are one class, named by its smallest id; ``n_links`` is the number of other classes that are similar (with
+    ``across``: of which one has a record on the side that the other lacks or shares). Names play no part.
+    """
+    member, sets, sides = _classed(records, across)
+    pairs = similar_classes(sets, ratio, sides, small, **kw)
+    links = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).groupBy("set_id").agg(F.count("*").alias("n_links"))
+    counted = sets.select("set_id").join(links, "set_id", "left").select("set_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return member.join(counted, "set_id").select("id", F.col("set_id").alias("class_id"), "n_links")
