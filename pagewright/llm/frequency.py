@@ -2,7 +2,8 @@
 
 Each record is a sequence of values (terms). The suffixes at every position, cut to ``depth`` values, are sorted over the cluster by
 suffix and record: a range shuffle on both, so that a value that fills a third of the table is spread over many partitions by record.
-Equal suffixes of one record are one weighted row before that shuffle. A common-prefix interval of n values holds the occurrences of an
+Equal suffixes of one record are one weighted row before that shuffle; different ones that begin alike, such as a term that stands in a
+record several times before different terms, stay several rows of the same interval. A common-prefix interval of n values holds the occurrences of an
 n-gram: the weights in it add up to the number of occurrences, and its rows less the adjacencies of rows of the same record (each row
 with an earlier row of its record in the same interval) are the number of records.
 
@@ -25,47 +26,38 @@ SEPARATOR = "\x01"
 NO_RECORD = "\x00"
 
 
-def _prefixes(suffixes: list[str], depth: int) -> list[tuple[str, ...]]:
-    return [tuple(s.split(SEPARATOR))[:depth] for s in suffixes]
-
-
 def _intervals(suffixes: pa.Array, records: pa.Array, weights: np.ndarray, depth: int) -> Iterator[pa.RecordBatch]:
     """Rows (gram, n, occurrences, records, record) of one batch in suffix order; record is null where the interval lies within the batch."""
     rows = len(suffixes)
-    split = _prefixes(suffixes.to_pylist(), depth) if depth > 1 else None
+    values = pc.split_pattern(suffixes, SEPARATOR)
+    length = pc.list_value_length(values).to_numpy(zero_copy_only=False)
     code = records.dictionary_encode().indices.to_numpy()
     order = np.argsort(code, kind="stable")
-    earlier = np.full(rows, -1)
+    earlier = np.full(rows, -1)  # the row before with the same record
     same = code[order[1:]] == code[order[:-1]]
     earlier[order[1:][same]] = order[:-1][same]
     named = pc.not_equal(records, NO_RECORD).to_numpy(zero_copy_only=False)
     names = ["gram", "n", "occurrences", "records", "record"]
-    for n in range(1, depth + 1):
-        if split is None:
-            text = suffixes
-            new = np.ones(rows, bool)
-            if rows > 1:
-                new[1:] = pc.not_equal(suffixes.slice(1), suffixes.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
-            long_enough = np.ones(rows, bool)
-        else:
-            grams = [SEPARATOR.join(s[:n]) for s in split]
-            long_enough = np.array([len(s) >= n for s in split])
-            new = np.array([True] + [grams[i] != grams[i - 1] for i in range(1, rows)])
-            text = pa.array(grams)
+    for n in range(1, min(depth, int(length.max())) + 1):
+        grams = suffixes if n == depth else pc.binary_join(pc.list_slice(values, 0, n), SEPARATOR)
+        long_enough = length >= n
+        new = np.ones(rows, bool)
+        if rows > 1:
+            new[1:] = pc.not_equal(grams.slice(1), grams.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
         begin = np.nonzero(new)[0]
         start = begin[np.cumsum(new) - 1]
         again = earlier >= start  # an adjacency: the record stands in this interval already
-        occurrences, distinct = np.add.reduceat(weights, begin), np.add.reduceat((~again & named).astype(np.int64), begin)
+        occurrences, distinct = np.add.reduceat(weights, begin), np.add.reduceat(named.astype(np.int64), begin) - np.add.reduceat((again & named).astype(np.int64), begin)
         inner = long_enough[begin]
         inner[[0, -1]] = False
         at = begin[inner]
         yield pa.RecordBatch.from_arrays(
-            [text.take(pa.array(at)), pa.array(np.full(len(at), n, np.int32)), pa.array(occurrences[inner]), pa.array(distinct[inner]), pa.nulls(len(at), records.type)], names=names
+            [grams.take(pa.array(at)), pa.array(np.full(len(at), n, np.int32)), pa.array(occurrences[inner]), pa.array(distinct[inner]), pa.nulls(len(at), records.type)], names=names
         )
         outer = np.unique(np.concatenate([np.arange(0, begin[1] if len(begin) > 1 else rows), np.arange(begin[-1], rows)]))
         outer = outer[long_enough[outer]]
         yield pa.RecordBatch.from_arrays(
-            [text.take(pa.array(outer)), pa.array(np.full(len(outer), n, np.int32)), pa.array(weights[outer]), pa.nulls(len(outer), pa.int64()), records.take(pa.array(outer))], names=names
+            [grams.take(pa.array(outer)), pa.array(np.full(len(outer), n, np.int32)), pa.array(weights[outer]), pa.nulls(len(outer), pa.int64()), records.take(pa.array(outer))], names=names
         )
 
 
@@ -77,10 +69,7 @@ def gram_frequencies(df: DataFrame, record: str, values: str, depth: int = 1) ->
     occurrences, and as the same record. Values must not hold \\x01.
     """
     clean = df.select(F.coalesce(F.col(record).cast("string"), F.lit(NO_RECORD)).alias("record"), F.filter(values, lambda x: x.isNotNull() & (x != "")).alias("vs"))
-    if depth == 1:
-        suffix = F.explode("vs")
-    else:
-        suffix = F.explode(F.transform(F.col("vs"), lambda v, i: F.concat_ws(SEPARATOR, F.slice("vs", i + 1, depth))))
+    suffix = F.explode(F.transform(F.col("vs"), lambda v, i: F.concat_ws(SEPARATOR, F.slice("vs", i + 1, depth))))
     rows = clean.where(F.size("vs") > 0).select("record", suffix.alias("suffix")).groupBy("suffix", "record").agg(F.count("*").alias("weight"))
     in_order = rows.repartitionByRange("suffix", "record").sortWithinPartitions("suffix", "record")
 

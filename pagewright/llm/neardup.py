@@ -53,6 +53,9 @@ class Fingerprint(setjoin.Rule):
         p, q = self.ratio
         return F.least(tokens, F.floor((size + high) * (q - p) / F.lit(p + q)).cast("int"))
 
+    def home(self) -> Column:
+        return F.col("cls") == size_class(F.col("size"))
+
     def pair(self) -> Column:
         p, q = self.ratio
         numbers = [F.transform(f"{s}.toks", lambda t: F.shiftright(t, VALUE_BITS)) for s in "ab"]
@@ -63,9 +66,9 @@ class Fingerprint(setjoin.Rule):
         p, q = self.ratio
         numbers = [setjoin.Lists(x.toks.values >> VALUE_BITS, x.toks.sizes) for x in (a, b)]
         distance = a.toks.sizes[:, None] + b.toks.sizes[None, :] - setjoin.common_counts(*numbers) - tokens
-        size_a, size_b = a.size[:, None].astype(np.int64), b.size[None, :].astype(np.int64)
-        cls = np.floor(np.log2(np.minimum(size_a, size_b))).astype(np.int64)
-        return (distance * (p + q) <= (size_a + size_b) * (q - p)) & (a.cls[:, None] == cls)
+        size_a, size_b = a.size.astype(np.int32)[:, None], b.size.astype(np.int32)[None, :]
+        own = [np.frexp(x.size)[1] - 1 for x in (a, b)]  # binary digits after the first
+        return (distance * (p + q) <= (size_a + size_b) * (q - p)) & (a.cls[:, None] == np.minimum(own[0][:, None], own[1][None, :]))
 
 
 def close_sets(sets: DataFrame, ratio: setjoin.Ratio, **kw) -> DataFrame:

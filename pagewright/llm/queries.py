@@ -14,14 +14,12 @@ from pagewright.session import cut, table
 REGISTRY = Registry()
 
 
-def _terms(spark: SparkSession, d: str, depth: int) -> DataFrame:
-    t = table(spark, d, "data_text_keywords").select("text_name", F.transform("keywords", tx.norm).alias("terms"))
-    return frequency.gram_frequencies(t, "text_name", "terms", depth)
-
-
 def _banded(spark: SparkSession, d: str) -> DataFrame:
-    texts = table(spark, d, "data_text_keywords").agg(F.count_distinct("text_name")).first()[0]
-    return frequency.mark_bands(_terms(spark, d, 1), texts)
+    """Terms are the intervals of length 1 among the suffixes of keyword lists, two keywords deep."""
+    t = table(spark, d, "data_text_keywords")
+    texts = t.agg(F.count_distinct("text_name")).first()[0]
+    grams = frequency.gram_frequencies(t.select("text_name", F.transform("keywords", tx.norm).alias("terms")), "text_name", "terms", 2)
+    return frequency.mark_bands(grams.where("n = 1"), texts)
 
 
 @REGISTRY("p1_found", S.P1_FOUND)
@@ -36,9 +34,10 @@ def p1_frequencies(spark: SparkSession, d: str) -> DataFrame:
 
 @REGISTRY("p1_word_grams", S.P1_WORD_GRAMS)
 def p1_word_grams(spark: SparkSession, d: str) -> DataFrame:
-    """Sequences of up to three words inside keywords."""
+    """All sequences of words inside keywords, up to the longest keyword."""
     t = table(spark, d, "data_text_keywords").select("text_name", F.explode("keywords").alias("k")).select("text_name", tx.words(F.col("k")).alias("ws"))
-    return frequency.gram_frequencies(t, "text_name", "ws", 3).select(F.replace("gram", F.lit(frequency.SEPARATOR), F.lit(" ")).alias("gram"), "n", "occurrences", F.col("records").alias("texts"))
+    longest = t.agg(F.max(F.size("ws"))).first()[0] or 1
+    return frequency.gram_frequencies(t, "text_name", "ws", longest).select(F.replace("gram", F.lit(frequency.SEPARATOR), F.lit(" ")).alias("gram"), "n", "occurrences", F.col("records").alias("texts"))
 
 
 @REGISTRY("p2_found", S.P2_FOUND)
@@ -50,19 +49,33 @@ def _pairs(df: DataFrame, field: str) -> DataFrame:
     return df.select(F.lit(field).alias("field_name"), F.col("id_a").alias("record_id_a"), F.col("id_b").alias("record_id_b"))
 
 
-@REGISTRY("p3_found", S.P3_FOUND)
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Records with their cluster ids, and those of both tables with their keywords."""
     clustered, plain = table(spark, d, "data_text_with_cluster_ids"), table(spark, d, "data_text_keywords")
     by_id = clustered.select(F.col("record_id").alias("id"), F.col("text_name").alias("name"), F.col("cluster_ids").alias("members"))
 
     def keyed(df: DataFrame, side: bool) -> DataFrame:
         return df.select(F.col("record_id").alias("id"), F.col("text_name").alias("name"), F.lit(side).alias("side"), tx.term_set(F.col("keywords")).alias("members"))
 
-    ids = overlap.similar_records(by_id, (3, 4), across=False)
-    keywords = overlap.similar_records(keyed(clustered, True).unionByName(keyed(plain, False)), (3, 5), across=True)
+    return by_id, keyed(clustered, True).unionByName(keyed(plain, False))
+
+
+@REGISTRY("p3_found", S.P3_FOUND)
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    by_id, by_keyword = _sets(spark, d)
+    ids, keywords = overlap.similar_records(by_id, (3, 4), across=False), overlap.similar_records(by_keyword, (3, 5), across=True)
     return _pairs(ids, "cluster_ids").unionByName(_pairs(keywords, "keywords"))
 
 
+@REGISTRY("p3_classes", S.P3_CLASSES)
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record and field: its class of equal sets and how many other classes are similar. Copies are not expanded into pairs."""
+    by_id, by_keyword = _sets(spark, d)
+    ids, keywords = overlap.linked_records(by_id, (3, 4), across=False), overlap.linked_records(by_keyword, (3, 5), across=True)
+    one = ids.withColumn("field_name", F.lit("cluster_ids")).unionByName(keywords.withColumn("field_name", F.lit("keywords")))
+    return one.select("field_name", F.col("id").alias("record_id"), "class_id", "n_links")
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "query_list")
     split = tx.split_key(F.col("split_name"))
@@ -77,12 +90,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).select(F.least("eval_id", "train_id").alias("query_id_a"), F.greatest("eval_id", "train_id").alias("query_id_b")).distinct()
 
 
+@REGISTRY("p4_pairs", S.P4_CONTAINMENT)
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs with the share of the evaluation record that the training record has, per field."""
+    return _leaks(spark, d).select("field", "eval_id", "train_id", F.round("overlap", 6).alias("overlap"), F.round("containment", 6).alias("containment"))
+
+
 @REGISTRY("p4_report", S.P4_REPORT)
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per split and source of the evaluation record: records that return in training, and pairs."""
+    """Per split and source of the evaluation record: records that return in training, pairs, pairs that hold all of it, and the best containment."""
     q = table(spark, d, "query_list").select(F.col("query_id").alias("eval_id"), tx.split_key(F.col("split_name")).alias("split"), "source")
-    pairs = _leaks(spark, d).groupBy("eval_id").agg(F.count_distinct("train_id").alias("n"))
-    return q.join(pairs, "eval_id").groupBy("split", "source").agg(F.count("*").alias("leaked_records"), F.sum("n").alias("pairs"))
+    pairs = _leaks(spark, d).groupBy("eval_id", "train_id").agg(F.max("containment").alias("c"))
+    per = pairs.groupBy("eval_id").agg(F.count("*").alias("n"), F.count_if(F.col("c") == 1).alias("whole"), F.max("c").alias("best"))
+    sums = [F.count("*").alias("leaked_records"), F.sum("n").alias("pairs"), F.sum("whole").alias("contained_pairs"), F.round(F.max("best"), 6).alias("best_containment")]
+    return q.join(per, "eval_id").groupBy("split", "source").agg(*sums)
 
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:

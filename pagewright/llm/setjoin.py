@@ -34,6 +34,8 @@ from pagewright.session import cut
 HOT_SETS = 120
 #: Sets and members that a part of a tile holds at most. Single sets may be longer.
 TILE_SETS, TILE_MEMBERS = 2048, 400_000
+#: Sets of a large block to which all its sets are compared first where only links are wanted.
+PIVOTS = 4
 #: Records of one set that a key of the last join holds at most.
 CHUNK_ROWS = 1024
 #: What a row of a split block costs in pairs of a tile.
@@ -91,6 +93,10 @@ class Rule:
         """How many of a set's ``tokens`` a similar set of ``low`` to ``high`` members may lack."""
         return tokens - need(size, F.greatest(low, _least_partner(size, self.ratio)), self.ratio)
 
+    def home(self) -> Column:
+        """Whether a row stands where it meets sets that are not smaller. Each pair has such a row."""
+        return F.lit(True)
+
     def pair(self) -> Column:
         """A further condition on a pair of rows a and b."""
         return F.lit(True)
@@ -176,8 +182,8 @@ class _Join:
         first = F.explode(F.transform(F.slice("toks", 1, F.greatest(reach, F.lit(0)) + 1), lambda t, i: F.struct(F.xxhash64("cls", t).alias("block"), i.alias("last"))))
         level, k, found = self.base.select(*kept, first.alias("x")).select("x.block", "x.last", *kept), 1, []
         while True:
-            ways = [F.max(s).alias(s) for s in self.sides or ()]
-            count = level.groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("mass"), F.min("size").alias("low"), F.max("size").alias("high"), *ways).where("n > 1")
+            ways = [F.max(self.rule.home()).alias("home"), *[F.max(s).alias(s) for s in self.sides or ()]]
+            count = level.groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("mass"), F.min("size").alias("low"), F.max("size").alias("high"), *ways).where("n > 1 and home")
             for s in self.sides or ():  # a block that one side never has makes no pair
                 count = count.where(s)
             most = F.least("high", F.floor(size * q / F.lit(p)).cast("int"))
@@ -237,15 +243,49 @@ class _Join:
         return kept.select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"), "common", F.col("a.size").alias("size_a"), F.col("b.size").alias("size_b"))
 
     def _tiled(self, rows: DataFrame, k: int) -> DataFrame:
-        parts = F.greatest(F.ceil(F.col("n") / self.tile), F.ceil(F.col("mass") / TILE_MEMBERS)).cast("int")
-        placed = rows.withColumn("part", F.pmod(F.xxhash64("set_id", F.lit("part")), parts).cast("int"))
-        tiles = F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least("part", x).alias("i"), F.greatest("part", x).alias("j"))))
-        sides = [F.col(s) for s in self.sides or ()]
-        each = placed.select("block", "exact", "part", "set_id", "cls", "last", "size", "toks", "members", *sides, tiles.alias("t")).select("block", "exact", "t.i", "t.j", "part", "set_id", "cls", "last", "size", "toks", "members", *(self.sides or ()))
-        rule, ratio, sides_, links, larger = self.rule, self.ratio, self.sides, self.links, self.larger_than
+        if not self.links:
+            return self._in_tiles(rows.withColumns({"near": F.lit(False), "n_near": F.lit(0).cast("bigint"), "n_far": F.col("n")}), k)
+        small, large = rows.where(F.col("n") <= self.tile), rows.where(F.col("n") > self.tile)
+        whole = self._in_tiles(small.withColumns({"near": F.lit(False), "n_near": F.lit(0).cast("bigint"), "n_far": F.col("n")}), k)
+        if large.isEmpty():
+            return whole
+        links, placed = self._stars(large)
+        return whole.unionByName(links).unionByName(self._in_tiles(placed, k))
+
+    def _stars(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links of a block's sets to a few of them, its pivots; and ``rows`` with ``near``: linked to the pivot with most links.
+
+        Sets that are near hang together already and need no tile among themselves, so a family of similar sets, however large, costs a pass.
+        """
+        p, q = self.ratio
+        chance = F.xxhash64("set_id", F.lit("pivot"))
+        pivots = rows.groupBy("block", F.pmod(chance, F.lit(PIVOTS)).alias("slot")).agg(F.min_by(F.struct("set_id", "members", "size"), chance).alias("pivot")).select("block", "pivot")
+        met = rows.join(pivots, "block").where(F.col("pivot.set_id") != F.col("set_id"))
+        common = F.size(F.array_intersect("members", "pivot.members"))
+        close = met.withColumn("common", common).where((F.col("common") * (p + q) >= (F.col("size") + F.col("pivot.size")) * p) & (F.greatest("size", "pivot.size") > self.larger_than))
+        links = cut(close.select("block", F.col("pivot.set_id").alias("a"), F.col("set_id").alias("b"), "common", F.col("pivot.size").alias("size_a"), "size"))
+        best = links.groupBy("block", "a").agg(F.count("*").alias("m")).groupBy("block").agg(F.max_by("a", "m").alias("a"))
+        near = links.join(best, ["block", "a"], "left_semi").select("block", F.col("b").alias("set_id")).unionByName(best.select("block", F.col("a").alias("set_id"))).distinct().withColumn("near", F.lit(True))
+        flagged = cut(rows.join(near, ["block", "set_id"], "left").withColumn("near", F.coalesce("near", F.lit(False))))
+        parts = flagged.groupBy("block").agg(F.count_if("near").alias("n_near"), F.count_if(~F.col("near")).alias("n_far"))
+        return links.select("a", "b", "common", "size_a", F.col("size").alias("size_b")), flagged.join(parts, "block")
+
+    def _in_tiles(self, rows: DataFrame, k: int) -> DataFrame:
+        """Results of blocks whose sets are split into parts: each far part with each part, but no near part with a near one."""
+        mean = F.greatest(F.lit(1.0), F.col("mass") / F.col("n") * self.tile / TILE_MEMBERS)  # more and smaller parts where sets are long
+        near, far = (F.ceil(F.col(c) * mean / self.tile).cast("int") for c in ("n_near", "n_far"))
+        spread = F.xxhash64("set_id", F.lit("part"))
+        part = F.when(F.col("near"), F.pmod(spread, near)).otherwise(near + F.pmod(spread, far)).cast("int")
+        begin = F.when(F.col("near"), near).otherwise(F.lit(0))
+        others = F.when(far > 0, F.sequence(begin, F.greatest(near + far - 1, begin)))
+        placed = rows.withColumn("part", part).withColumn("tiles", others)
+        tiles = F.explode(F.transform("tiles", lambda x: F.struct(F.least("part", x).alias("i"), F.greatest("part", x).alias("j"))))
+        kept = ["block", "exact", "part", "set_id", "cls", "last", "size", "toks", "members", *(self.sides or ())]
+        each = placed.select(*kept, tiles.alias("t")).select(*kept, "t.i", "t.j")
+        rule, ratio, sides, links, larger = self.rule, self.ratio, self.sides, self.links, self.larger_than
 
         def run(t: pa.Table) -> pa.Table:
-            return tile_pairs(t, k, rule, ratio, sides_, links, larger)
+            return tile_pairs(t, k, rule, ratio, sides, links, larger)
 
         return each.groupBy("block", "exact", "i", "j").applyInArrow(run, "a bigint, b bigint, common int, size_a int, size_b int")
 
@@ -336,8 +376,8 @@ def tile_pairs(t: pa.Table, k: int, rule: Rule, ratio: Ratio, sides: tuple[str,
     whole = Part(*ints, Lists.of(t["toks"]), Lists.of(t["members"]), [t[s].to_numpy() for s in sides or ()])
     a, b = (whole.take(part == x) for x in (i, j)) if i != j else (whole, whole)
     p, q = ratio
-    size_a, size_b = a.size.astype(np.int64)[:, None], b.size.astype(np.int64)[None, :]
-    common = common_counts(a.members, b.members).astype(np.int64)
+    size_a, size_b = a.size.astype(np.int32)[:, None], b.size.astype(np.int32)[None, :]
+    common = common_counts(a.members, b.members).astype(np.int32)
     good = (common * (p + q) >= (size_a + size_b) * p) & (np.maximum(size_a, size_b) > larger_than)
     if i == j:
         good &= a.ids[:, None] < b.ids[None, :]

@@ -14,7 +14,7 @@ FROM ({TERMS}) WHERE term <> '' GROUP BY term
 P1_FOUND = f"SELECT term, band FROM ({P1_FREQUENCIES}) WHERE band IS NOT NULL"
 P1_WORD_GRAMS = f"""
 WITH w AS (SELECT text_name, {WORDS.format('k')} AS ws FROM (SELECT text_name, unnest(keywords) AS k FROM data_text_keywords) WHERE k IS NOT NULL),
-g AS (SELECT text_name, n, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM (SELECT text_name, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS n)))
+g AS (SELECT text_name, n::INTEGER AS n, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM (SELECT text_name, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS n FROM w)))
 SELECT gram, n, count(*) AS occurrences, count(DISTINCT text_name) AS texts FROM g GROUP BY gram, n
 """
 
@@ -40,12 +40,23 @@ SELECT 'cluster_ids' AS field_name, x.record_id AS record_id_a, y.record_id AS r
 UNION ALL SELECT 'keywords', least(x.record_id, y.record_id), greatest(x.record_id, y.record_id) FROM ({KEYS_A}) x JOIN ({KEYS_B}) y
   ON x.text_name IS DISTINCT FROM y.text_name AND len(x.s) > 0 AND len(y.s) > 0 AND {OVERLAP.format('x.s', 'y.s')} >= 0.6
 """
-P4_PAIRS = f"""
-SELECT x.query_id AS eval_id, y.query_id AS train_id FROM ({SETS}) x JOIN ({SETS}) y ON x.split IN ('validation', 'test') AND y.split = 'train'
-  AND ((len(x.s) > 0 AND len(y.s) > 0 AND {OVERLAP.format('x.s', 'y.s')} >= 0.7) OR (len(x.t) >= 3 AND len(y.t) >= 3 AND {OVERLAP.format('x.t', 'y.t')} >= 0.8))
+BY_NAME = "SELECT 'cluster_ids' AS field_name, record_id, list_sort(s) AS s, true AS l, true AS r FROM ({0}) UNION ALL SELECT 'keywords', record_id, list_sort(s), false, true FROM ({1}) UNION ALL SELECT 'keywords', record_id, list_sort(s), true, false FROM ({2})".format(IDS, KEYS_A, KEYS_B)
+P3_CLASSES = f"""
+WITH m AS (SELECT * FROM ({BY_NAME}) WHERE len(s) > 0),
+c AS (SELECT field_name, s, min(record_id) AS class_id, bool_or(l) AS l, bool_or(r) AS r FROM m GROUP BY field_name, s),
+n AS (SELECT x.field_name, x.class_id, count(*) AS n_links FROM c x JOIN c y ON x.field_name = y.field_name AND x.class_id <> y.class_id AND ((x.l AND y.r) OR (x.r AND y.l))
+  AND {OVERLAP.format('x.s', 'y.s')} >= CASE x.field_name WHEN 'keywords' THEN 0.6 ELSE 0.75 END GROUP BY ALL)
+SELECT field_name, record_id, class_id, coalesce(n_links, 0) AS n_links FROM m JOIN c USING (field_name, s) LEFT JOIN n USING (field_name, class_id)
+"""
+CONTAINED = "len(list_intersect({0}, {1}))::DOUBLE / len({0})"
+P4_FIELD = "SELECT '{0}' AS field, x.query_id AS eval_id, y.query_id AS train_id, {1} AS overlap, {2} AS containment FROM ({3}) x JOIN ({3}) y ON x.split IN ('validation', 'test') AND y.split = 'train' AND least(len(x.{4}), len(y.{4})) >= {5} AND {1} >= {6}"
+P4_PAIRS = " UNION ALL ".join(P4_FIELD.format(f, OVERLAP.format(f"x.{c}", f"y.{c}"), CONTAINED.format(f"x.{c}", f"y.{c}"), SETS, c, n, share) for f, c, n, share in (("query", "s", 1, 0.7), ("pos_target", "t", 3, 0.8)))
+P4_CONTAINMENT = f"SELECT field, eval_id, train_id, round(overlap, 6) AS overlap, round(containment, 6) AS containment FROM ({P4_PAIRS})"
+P4_FOUND = f"SELECT DISTINCT least(eval_id, train_id) AS query_id_a, greatest(eval_id, train_id) AS query_id_b FROM ({P4_PAIRS})"
+P4_REPORT = f"""
+SELECT {SPLIT} AS split, source, count(DISTINCT query_id) AS leaked_records, count(*) AS pairs, count(*) FILTER (c = 1) AS contained_pairs, round(max(c), 6) AS best_containment
+FROM query_list JOIN (SELECT eval_id, train_id, max(containment) AS c FROM ({P4_PAIRS}) GROUP BY ALL) ON query_id = eval_id GROUP BY 1, 2
 """
-P4_FOUND = f"SELECT least(eval_id, train_id) AS query_id_a, greatest(eval_id, train_id) AS query_id_b FROM ({P4_PAIRS})"
-P4_REPORT = f"SELECT {SPLIT} AS split, source, count(DISTINCT query_id) AS leaked_records, count(*) AS pairs FROM query_list JOIN ({P4_PAIRS}) ON query_id = eval_id GROUP BY ALL"
 TIES = f"""
 SELECT DISTINCT query_id AS r, 't' || {STEM.format('v')} AS e FROM (SELECT query_id, unnest(pos_target_for_deepseek) AS v FROM query_list) WHERE v IS NOT NULL AND {STEM.format('v')} <> ''
 UNION ALL SELECT query_id, 'q' || {NORM.format('query')} FROM query_list WHERE query IS NOT NULL AND {NORM.format('query')} <> ''

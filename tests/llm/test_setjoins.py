@@ -3,11 +3,14 @@
 import itertools
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.llm import contamination, neardup, overlap, setjoin
+from pagewright.session import cut
 
 
 def words(s):
@@ -53,13 +56,24 @@ def random_texts(seed, n, vocabulary=60, common=8):
     return out
 
 
-@pytest.mark.parametrize("hot", [2, 120])
-@pytest.mark.parametrize("ratio", [(7, 10), (3, 4), (3, 5), (4, 5)])
-def test_pairs_equal_brute_force(spark, ratio, hot):
+RULES = {
+    "members": lambda sets, ratio: {},
+    "grams": lambda sets, ratio: {"rule": setjoin.Grams(ratio), "tokens": contamination.word_grams(sets)},
+    "fingerprints": lambda sets, ratio: {"rule": neardup.Fingerprint(ratio), "tokens": neardup.fingerprints(sets, ratio)},
+}
+#: Sizes from which blocks are hot and large, and the cost of a row of a split block; with 0 blocks are split wherever that helps at all.
+WAYS = [(120, 2048, 100), (2, 2048, 100), (2, 5, 100), (2, 5, 0), (10, 20, 0)]
+
+
+@pytest.mark.parametrize("hot, tile, cost", WAYS)
+@pytest.mark.parametrize("ratio, how", [((7, 10), "members"), ((7, 10), "grams"), ((7, 10), "fingerprints"), ((3, 4), "members"), ((3, 5), "members"), ((4, 5), "grams"), ((3, 5), "fingerprints")])
+def test_pairs_equal_brute_force(spark, monkeypatch, ratio, how, hot, tile, cost):
+    monkeypatch.setattr(setjoin, "ROW_COST", cost)
     texts = random_texts(5, 120)
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", F.split("t", " ").alias("m"))
     member, sets = setjoin.classes(df, "id", "m")
-    pairs = setjoin.similar_sets(sets, ratio, hot=hot).collect()
+    sets = cut(sets)
+    pairs = setjoin.similar_sets(sets, ratio, hot=hot, tile=tile, **RULES[how](sets, ratio)).collect()
     assert len({(min(r.a, r.b), max(r.a, r.b)) for r in pairs}) == len(pairs)
     by = {}
     for r in member.collect():
@@ -69,12 +83,14 @@ def test_pairs_equal_brute_force(spark, ratio, hot):
     assert all(r.common == len(by[r.a] & by[r.b]) for r in pairs)
 
 
-@pytest.mark.parametrize("hot", [2, 120])
-def test_star_keeps_groups(spark, hot):
+@pytest.mark.parametrize("hot, tile, cost", WAYS)
+def test_links_keep_groups(spark, monkeypatch, hot, tile, cost):
+    monkeypatch.setattr(setjoin, "ROW_COST", cost)
     texts = random_texts(9, 100, vocabulary=25)
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", F.split("t", " ").alias("m"))
     member, sets = setjoin.classes(df, "id", "m")
-    links = [(r.a, r.b) for r in setjoin.similar_sets(sets, (7, 10), star=True, hot=hot).collect()]
+    sets = cut(sets)
+    links = [(r.a, r.b) for r in neardup.close_sets(sets, (7, 10), hot=hot, tile=tile).collect()]
     by = {r.set_id: words(texts[r.id]) for r in member.collect()}
     want = [(a, b) for a, b in itertools.combinations(sorted(by), 2) if alike(by[a], by[b], (7, 10))]
     assert groups_of(sorted(by), links) == groups_of(sorted(by), want)
@@ -104,6 +120,67 @@ def test_hot_families_stay_whole(spark):
     assert got == {(0, i) for i in range(200)} | {(200, i) for i in range(200, 400)}
 
 
+def test_crowded_fingerprints_lose_nothing(spark, monkeypatch):
+    """With one block per word many words share blocks, and some sets have no more filled blocks than may differ."""
+    monkeypatch.setattr(neardup, "BLOCKS_PER_WORD", 1)
+    texts = random_texts(4, 90, vocabulary=30)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", F.split("t", " ").alias("m"))
+    member, sets = setjoin.classes(df, "id", "m")
+    links = [(r.a, r.b) for r in neardup.close_sets(cut(sets), (7, 10)).collect()]
+    by = {r.set_id: words(texts[r.id]) for r in member.collect()}
+    want = [(a, b) for a, b in itertools.combinations(sorted(by), 2) if alike(by[a], by[b], (7, 10))]
+    assert groups_of(sorted(by), links) == groups_of(sorted(by), want)
+
+
+def dense_family(spark, n):
+    """n sets of 30 out of 36 members: almost all pairs meet in almost all blocks, and most are similar."""
+    rnd = random.Random(1)
+    rows = [(i, i % 2 == 0, f"n{i}", [f"m{x}" for x in sorted(rnd.sample(range(36), 30))]) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id long, in_train boolean, name string, members array<string>")
+
+
+def test_dense_family_ends(spark):
+    rows, df = dense_family(spark, 2000)
+    member = np.zeros((2000, 36), np.int64)
+    for i, _, _, m in rows:
+        member[i, [int(x[1:]) for x in m]] = 1
+    common = member @ member.T
+    alike_ = common * 17 >= 60 * 7
+    begin = time.monotonic()
+    assert contamination.contained_records(df, (7, 10)).count() == alike_[1::2, ::2].sum()
+    texts = df.select("id", F.concat_ws(" ", "members").alias("t"))
+    assert neardup.near_duplicate_groups(texts, "id", "t").count() == 2000
+    pairs = overlap.similar_records(df.drop("in_train"), (3, 4), across=False).count()
+    assert pairs == (np.triu(common * 7 >= 60 * 3, 1)).sum()
+    assert time.monotonic() - begin < 120
+
+
+def test_gram_guarantee_is_checked():
+    assert setjoin.Grams.hold((7, 10)) and setjoin.Grams.hold((4, 5)) and not setjoin.Grams.hold((3, 5)) and not setjoin.Grams.hold((1, 2))
+
+
+def test_common_counts():
+    rnd = np.random.default_rng(0)
+    a, b = ([rnd.choice(60, rnd.integers(0, 12), replace=False) for _ in range(n)] for n in (40, 25))
+    a.append(np.arange(1000, 1003))
+    x, y = (setjoin.Lists(np.concatenate(s), np.array([len(v) for v in s])) for s in (a, b))
+    want = np.array([[len(np.intersect1d(u, v)) for v in b] for u in a])
+    for dense in (0, 256, 10**9):
+        setjoin.DENSE, kept = dense, setjoin.DENSE
+        assert (setjoin.common_counts(x, y) == want).all()
+        setjoin.DENSE = kept
+    assert (setjoin.common_counts(x.heads(np.full(41, 2)), y) == np.array([[len(np.intersect1d(u[:2], v)) for v in b] for u in a])).all()
+
+
+@pytest.mark.parametrize("chunk", [2, 1024])
+def test_copies_are_joined_in_chunks(spark, chunk):
+    left = spark.createDataFrame([(1, i) for i in range(7)] + [(2, 10)], "a long, x long")
+    right = spark.createDataFrame([(1, i) for i in range(5)] + [(3, 20), (3, 21)], "b long, y long")
+    pairs = spark.createDataFrame([(1, 1), (1, 3), (2, 3), (2, 9)], "a long, b long")
+    got = sorted((r.a, r.b, r.x, r.y) for r in setjoin.with_copies(pairs, left, right, chunk).collect())
+    assert got == sorted([(1, 1, x, y) for x in range(7) for y in range(5)] + [(1, 3, x, y) for x in range(7) for y in (20, 21)] + [(2, 3, 10, y) for y in (20, 21)])
+
+
 @pytest.mark.parametrize("small", [1, 6])
 def test_similar_records(spark, small):
     rnd = random.Random(3)
