@@ -116,11 +116,31 @@ ASKED = (
     "nome valor endereco"
 ).split()
 _ASKED = rf"(?:[A-Za-z]+[ _-]){{0,3}}(?:{'|'.join(ASKED)})(?:[ _-][A-Za-z]+){{0,2}}"
-FIELD = re.compile(
-    rf"\{{\{{[^{{}}\n]{{1,80}}\}}\}}|\{{%[^%\n]{{1,80}}%\}}|\[\[\s*{NAME}\s*\]\]|<<\s*{NAME}\s*>>|<%=?\s*{NAME}\s*%>|%\({NAME}\)[sdf]|\$\{{\s*{NAME}\s*\}}|#[A-Za-z]+(?:_[A-Za-z0-9]+)*#|@@[A-Za-z0-9_]+@@|%%[A-Za-z][A-Za-z0-9_]*%%|\b__[A-Za-z0-9]+(?:_[A-Za-z0-9]+)*__\b"
-    rf"|«\s*{NAME}\s*»|<(?:enter|insert|your|add) {NAME}>|\[(?:insert|enter|your|add|type) [^\[\]\n]{{1,60}}\]|\[[^\[\]\n]{{1,60}} (?:to be added|to be completed|to be inserted|here|tbd|goes here)\]"
-    rf"|\[{_ASKED}\]|<{_ASKED}>|(?<![\w$])\${_ASKED}\b|(?<![\\\w{{$^_])\{{{_ASKED}\}}(?!\}})|[［【\[](?:姓名|日期|金额|地址|公司|单位|电话|名称|编号|签名)[］】\]]|\b[\w ]{{2,20}}:[ \t]*_{{4,}}",
-    re.I,
+_HERE = r"(?:here|in this (?:box|field|space|line)|below|above|hier|ici|aqui|aquí|qui)"
+_DO = r"(?:please )?(?:click to |tap to )?(?:type|enter|insert|write|fill in|put|add|state|give|your|choose|select|hier|bitte|insérer|saisir|indiquer|insertar|escribir|escriba|inserire|inserir)"
+#: Forms of fields by a text that each of them holds.
+FIELDS = tuple(
+    (trigger, re.compile(form, re.I))
+    for trigger, form in (
+        ("{{", r"\{\{[^{}\n]{1,80}\}\}"),
+        ("{%", r"\{%[^%\n]{1,80}%\}"),
+        ("{", rf"(?<![\\\w{{$^_])\{{{_ASKED}\}}(?!\}})|\{{[!$]\s*{NAME}\s*\}}"),
+        ("${", rf"\$\{{\s*{NAME}\s*\}}"),
+        ("$", rf"(?<![\w$])\${_ASKED}\b"),
+        ("[", rf"\[\[\s*{NAME}\s*\]\]|\[{_DO} [^\[\]\n]{{1,60}}\]|\[[^\[\]\n]{{1,60}} (?:to be (?:added|completed|inserted|filled in|determined)|{_HERE}|tbd|goes here)\]|\[{_ASKED}\]"),
+        ("<", rf"<<\s*{NAME}\s*>>|<%=?\s*{NAME}\s*%>|<{_DO} {NAME}>|<{_ASKED}>"),
+        ("(", rf"\({_DO} [^()\n]{{1,60}} {_HERE}\)|\({_DO} (?:the |your |a )?{_ASKED}\)|%\({NAME}\)[sdf]"),
+        ("#", r"#[A-Za-z]+(?:_[A-Za-z0-9]+)*#"),
+        ("@@", r"@@[A-Za-z0-9_]+@@"),
+        ("%%", r"%%[A-Za-z][A-Za-z0-9_]*%%"),
+        ("|", r"\*\|[A-Za-z][A-Za-z0-9_:]*\|\*|\|\|[A-Za-z_]+\|\|"),
+        ("__", r"\b__[A-Za-z0-9]+(?:_[A-Za-z0-9]+)*__\b"),
+        ("____", r"\b[\w ]{2,20}:[ \t]*_{4,}"),
+        ("«", rf"«\s*{NAME}\s*»"),
+        ("［", r"［[^［］\n]{1,20}］"),
+        ("姓名", r"[【\[(（](?:请?(?:填写|输入|插入))?姓名[】\])）]"),
+        ("请", r"[【\[(（]请?(?:在此)?(?:填写|输入|插入)[^】\])）\n]{0,20}[】\])）]"),
+    )
 )
 #: A numbered field, and fixed values: words and signs of sentences in which braces hold sets.
 NUMBERED = re.compile(r"(?<![\\\w{$]) ?\{\d\}(?!\{)")
@@ -164,7 +184,8 @@ def automaton() -> ahocorasick.Automaton:
 def open_field(text: str) -> str | None:
     """The first template field that its own sentence does not explain."""
     stops = explained = None
-    for m in itertools.chain(FIELD.finditer(text), NUMBERED.finditer(text)):
+    forms = [form for trigger, form in FIELDS if trigger in text] + ([NUMBERED] if "{" in text else [])
+    for m in itertools.chain.from_iterable(form.finditer(text) for form in forms):
         if stops is None:
             stops = [x.end() for x in STOP.finditer(text)]
         k = bisect.bisect_right(stops, m.start())
@@ -179,33 +200,35 @@ def open_field(text: str) -> str | None:
     return None
 
 
-def _marks(hay: str) -> tuple[bytearray, list[tuple[int, int]]]:
-    """Of each character of ``hay`` (words between blanks): 1 in a word with a part, 2 in one that says nothing; and (end, parts) of all hits."""
-    covered, hits, n = bytearray(len(hay)), [], len(hay)
-    for end, (parts, length, open_) in automaton().iter(hay):
-        begin, stop = end - length + 1, end + 1
+def _dense(words: str, hits: list[tuple[int, tuple[int, int, bool]]], at: int) -> bool:
+    """Whether words with a part make up most of a fragment's letters beside those that say nothing. ``hits`` are the automaton's, ``at`` is where the fragment begins."""
+    n, covered = len(words), bytearray(len(words))
+    for end, (parts, length, open_) in hits:
+        begin, stop = max(end - length + 1 - at, 0), end + 1 - at
         if open_:
-            stop = hay.find(" ", stop)
+            stop = words.find(" ", stop)
             stop = n if stop < 0 else stop
         if parts & ~VOID:
-            covered[begin:stop] = b"\1" * (stop - begin)
+            covered[begin:stop] = b"\1" * (min(stop, n) - begin)
         else:
             covered[begin:stop] = bytes(c or 2 for c in covered[begin:stop])
-        hits.append((end, parts))
-    return covered, hits
+    return covered.count(1) >= FRAGMENT_SHARE * (n - covered.count(2))
 
 
-def _is_filler(words: list[str]) -> bool:
+def _is_filler(text: str) -> bool:
     """Mock Latin, keys struck at random, or one word over and over."""
+    words = text.split()
     n = len(words)
-    if sum(1 for w in words if MASHED.match(w)) >= LATIN_SHARE * n:
+    if n >= 3 and 2 * len(set(words)) <= n + 1 and max(map(words.count, set(words))) >= max(3, LATIN_SHARE * n):
         return True
-    if n >= 3 and max(map(words.count, set(words))) >= max(3, LATIN_SHARE * n):
+    if MASHED.match(words[0]) and sum(1 for w in words if MASHED.match(w)) >= LATIN_SHARE * n:
         return True
-    return n >= LATIN_WORDS and sum(1 for w in words if LATIN_WORD.match(w)) >= LATIN_SHARE * n and sum(1 for w in words if w in _LATIN or w.endswith(("us", "um", "ibus", "orum", "arum"))) * 3 >= n
+    return n >= LATIN_WORDS and 3 * len(_SURELY_LATIN(text)) >= n and sum(1 for w in words if LATIN_WORD.match(w)) >= LATIN_SHARE * n
 
 
-_LATIN = frozenset(LATIN)
+_SURELY_LATIN = re.compile(r"(?<![^ ])(?:[a-z]+(?:us|um|[oa]rum|ibus)|" + "|".join(LATIN) + r")(?![^ ])").findall
+#: What a text with filler has somewhere: a beginning of mashed keys, an ending or word of mock Latin, or a word twice in a row.
+_MAY_FILL = re.compile(r" (?:asdf|qwert|foo|ba[rz]|qu?ux|blah?|xx)|(?:us|um|ibus|[oa]rum) |lorem|ipsum| ([^\W\d_]+) \1 ")
 
 
 def _is_message(parts: int, status: bool) -> bool:
@@ -214,42 +237,42 @@ def _is_message(parts: int, status: bool) -> bool:
     return bool(fault and (parts & THING or parts & ASK or status) or parts & ASK and parts & THING or parts & FILL)
 
 
-def _is_furniture(line: str) -> bool:
-    return bool(FURNITURE.match(line))
-
-
 def residue_share(text: str) -> tuple[float, bool]:
     """Share of the text's letters in residue, without title and furniture, and whether the text's last paragraph is residue."""
     text = re.sub(r"-[ \t]*\n[ \t]*(?=[a-zà-ÿ])", "", text.lower()).translate(ACCENTS)
-    fragments = []  # words, ends like a sentence, number of the paragraph, is code, has a status code, may be furniture
+    fragments = []  # words, ends like a sentence, number of the paragraph, is code, as it stands
     for number, paragraph in enumerate(re.split(r"\n\s*\n", text)):
         for line in paragraph.split("\n"):
             if CODE_LINE.match(line):
-                fragments.append((NOT_WORD.sub(" ", line).strip() or "code", True, number, True, False, False))
+                fragments.append((NOT_WORD.sub(" ", line).strip() or "code", True, number, True, line))
                 continue
             for m in SENTENCE.finditer(line):
                 raw = m.group().strip()
                 words = NOT_WORD.sub(" ", raw).strip()
                 if words:
-                    fragments.append((words, raw[-1] in ".!?。！？", number, False, bool(STATUS.search(raw)), _is_furniture(raw)))
+                    fragments.append((words, raw[-1] in ".!?。！？", number, False, raw))
     if not fragments:
         return 0.0, False
     hay, at = " " + "  ".join(f[0] for f in fragments) + " ", 1
-    covered, hits = _marks(hay)
-    judged, hit = [], 0  # letters, is residue, is made of a message's words, ends like a sentence, number of the paragraph, may be furniture
-    for words, stops, number, code, status, furniture in fragments:
-        n, parts = len(words), 0
+    hits, may_fill = list(automaton().iter(hay)), bool(_MAY_FILL.search(hay))
+    judged, hit, own = [], 0, []  # letters, is residue, where its hits are, ends like a sentence, number of the paragraph, may be furniture
+    for words, stops, number, code, raw in fragments:
+        n, parts, first = len(words), 0, hit
         while hit < len(hits) and hits[hit][0] <= at + n:
-            parts |= hits[hit][1]
+            parts |= hits[hit][1][0]
             hit += 1
-        inside = covered[at : at + n]
-        dense = inside.count(1) >= FRAGMENT_SHARE * (n - inside.count(2))
+        message = _is_message(parts, bool(parts & FAULT) and bool(STATUS.search(raw))) and _dense(words, hits[first:hit], at)
+        judged.append((n, code or message or may_fill and _is_filler(words), parts & ~VOID, stops, number, n < 200 and bool(FURNITURE.match(raw))))
+        own.append((words, first, hit, at))
         at += n + 2
-        judged.append((n, code or dense and _is_message(parts, status) or _is_filler(words.split()), dense and bool(parts & ~VOID), stops, number, furniture))
-    held = {j[4] for j in judged if j[1]}  # what goes on in a message's paragraph with its words belongs to it
-    judged = [(n, residue or dense and number in held, stops, number) for n, residue, dense, stops, number, furniture in judged if residue or not furniture]
-    if not judged:
+    if not any(j[1] for j in judged):
         return 0.0, False
+    held = {j[4] for j in judged if j[1]}  # what goes on in a message's paragraph with its words belongs to it
+    judged = [
+        (n, residue or bool(parts) and number in held and _dense(words, hits[first:after], begin), stops, number)
+        for (n, residue, parts, stops, number, furniture), (words, first, after, begin) in zip(judged, own, strict=True)
+        if residue or not furniture
+    ]
     total = covered_letters = tail = tail_covered = 0
     for k, (n, residue, stops, number) in enumerate(judged):
         if number == judged[-1][3]:
