@@ -5,32 +5,41 @@ suffix of every item is looked up in that order by binary search, which gives al
 cannot reach the wanted run are left out before sorting: those with a foreign word in the next ``run`` words, and those whose first
 words are the first words of no item suffix. What is left is extended to the longest verbatim match.
 
-The items are the query set. They are cut into overlapping windows and read in blocks of at most about ``block_words`` words, so what is
-sent to the workers is bounded whatever their number; each block is one scan of the corpus. There is no shuffle but that of the result.
+Up to ``block_words`` words of items (a bound of some 50 MB) are sent to the workers, which build the sorted side once each; there is no
+shuffle but that of the result. Beyond that nothing is sent but a filter of at most FILTER_BITS bits: the corpus is scanned once, the
+suffixes whose first ``run`` words may begin an item suffix go, as 128-bit keys, to where the item suffixes with that key are, sorted on
+both sides, and runs of matches on one diagonal make the longest ones. Neither the driver nor a worker holds more for more items.
 
 Null, empty and short texts and items match nothing. Repeated documents and items each give their own rows.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 import re
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.functions import text as tx
+from pagewright.session import cut
 
 RUN_WORDS = 12
 SEED_WORDS = 4
 WINDOW_WORDS = 10_000
 BLOCK_WORDS = 1_000_000
+#: Most bits of the filter of item suffixes (32 MB); it has 16 for each suffix as long as that is less. More suffixes only make it pass more.
+FILTER_BITS = 1 << 28
+#: Bytes of a piece in which the filter is put together, and parts into which the matches of one key are spread.
+PIECE_BYTES, SPREAD = 1 << 16, 8
+#: Words whose hashes a worker remembers.
+KEPT_WORDS = 500_000
 WORD = re.compile(r"[^\W_]+").findall
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -137,30 +146,130 @@ def passage_matches(
     One row per document row and item. Columns of the inputs beside the named ones are not read.
     """
     spark = docs.sparkSession
-    windows = _windows(items, item_key, item_text, run)
-    total = windows.agg(F.sum(F.size("ws"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_words))
     kinds = docs.schema[doc_key].dataType, items.schema[item_key].dataType
     schema = T.StructType([T.StructField("doc", kinds[0]), T.StructField("item", kinds[1]), T.StructField("doc_word", T.LongType()), T.StructField("n_words", T.LongType())])
-    found = []
-    for b in range(blocks if total else 0):
-        own = windows.where(F.pmod(F.xxhash64("item", "begin"), F.lit(blocks)) == b) if blocks > 1 else windows
-        sent = spark.sparkContext.broadcast([(r["item"], r["ws"]) for r in own.toLocalIterator()])  # at most about block_words words
-
-        def run_block(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = ItemBlock(sent.value, run)
-            types = [f.type for f in pa.schema([("a", _arrow(kinds[0])), ("b", _arrow(kinds[1]))])]
-            for batch in batches:
-                text, window, doc_word, _, length = block.search(batch.column(1).to_pylist())
-                docs_found = batch.column(0).take(pa.array(text))
-                items_found = pa.array([block.items[w] for w in window], types[1])
-                yield pa.RecordBatch.from_arrays([docs_found, items_found, pa.array(doc_word, pa.int64()), pa.array(length, pa.int64())], names=["doc", "item", "doc_word", "n_words"])
-
-        found.append(docs.select(F.col(doc_key), F.col(doc_text)).mapInArrow(run_block, schema))
-    if not found:
+    windows = _windows(items, item_key, item_text, run)
+    total = windows.agg(F.sum(F.size("ws"))).first()[0] or 0
+    if not total:
         return spark.createDataFrame([], schema)
+    if total > block_words:
+        return _shuffled_matches(docs, items, (doc_key, doc_text, item_key, item_text), run, total)
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r["item"], r["ws"]) for r in windows.toLocalIterator()]))  # at most block_words words
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _block(sent.value, run)
+        for batch in batches:
+            text, window, doc_word, _, length = block.search(batch.column(1).to_pylist())
+            docs_found = batch.column(0).take(pa.array(text))
+            items_found = pa.array([block.items[w] for w in window], _arrow(kinds[1]))
+            yield pa.RecordBatch.from_arrays([docs_found, items_found, pa.array(doc_word, pa.int64()), pa.array(length, pa.int64())], names=["doc", "item", "doc_word", "n_words"])
+
+    return _longest(docs.select(F.col(doc_key), F.col(doc_text)).mapInArrow(search, schema))
+
+
+_BLOCKS: dict[str, ItemBlock] = {}
+
+
+def _block(sent: tuple[str, list], run: int) -> ItemBlock:
+    """The sorted side, built once in a worker."""
+    name, windows = sent
+    if name not in _BLOCKS:
+        _BLOCKS.clear()
+        _BLOCKS[name] = ItemBlock(windows, run)
+    return _BLOCKS[name]
+
+
+def _longest(found: DataFrame) -> DataFrame:
     best = F.max(F.struct("n_words", (-F.col("doc_word")).alias("back"))).alias("best")
-    return reduce(DataFrame.unionAll, found).groupBy("doc", "item").agg(best).select("doc", "item", (-F.col("best.back")).alias("doc_word"), F.col("best.n_words").alias("n_words"))
+    return found.groupBy("doc", "item").agg(best).select("doc", "item", (-F.col("best.back")).alias("doc_word"), F.col("best.n_words").alias("n_words"))
+
+
+class WordHashes(dict):
+    """Hashes of words, kept for those met lately."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") or 1
+        return h
+
+
+_HASHES = WordHashes()
+
+
+def suffix_keys(texts: list[str | None], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each suffix with ``run`` or more words: its text, its first word's place and two hashes of its first ``run`` words."""
+    parts, starts = [], np.zeros(len(texts) + 1, np.int64)
+    for k, t in enumerate(texts):
+        ws = WORD(t.lower()) if t else []
+        parts += [np.fromiter(map(_HASHES.__getitem__, ws), np.uint64, len(ws)), np.zeros(1, np.uint64)]
+        starts[k + 1] = starts[k] + len(ws) + 1
+    ids = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    at = _clear(ids, run)
+    first, second = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for j in range(run):
+        w = ids[at + j]
+        first = first * _MIX[0] + w
+        second = (second ^ (w >> np.uint64(17))) * _MIX[1] + w
+    first ^= first >> np.uint64(31)
+    first *= _MIX[2]
+    text = np.searchsorted(starts, at, "right") - 1
+    return text, at - starts[text], first, second
+
+
+def _key_rows(df: DataFrame, key: str, text: str, name: str, run: int, sent=None) -> DataFrame:
+    """(h1, h2, name, at) of the suffixes of ``df``; only those that the filter passes, if there is one."""
+    kind = df.schema[key].dataType
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, at, h1, h2 = suffix_keys(b.column(1).to_pylist(), run)
+            if sent is not None:
+                bits, shift = sent.value
+                where = (h1 >> np.uint64(shift)).astype(np.int64)
+                keep = (bits[where >> 3] >> (where & 7).astype(np.uint8)) & 1 == 1
+                owner, at, h1, h2 = owner[keep], at[keep], h1[keep], h2[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), b.column(0).take(pa.array(owner)), pa.array(at)], names=["h1", "h2", name, "at"])
+
+    return df.select(F.col(key), F.col(text)).mapInArrow(rows, f"h1 bigint, h2 bigint, `{name}` {kind.simpleString()}, at bigint")
+
+
+def _filter(keys: DataFrame, total: int) -> tuple[np.ndarray, int]:
+    """Bits by the first bits of h1, put together piece by piece on the cluster; at most FILTER_BITS of them reach the driver."""
+    n_bits = min(FILTER_BITS, 1 << max(19, (16 * total - 1).bit_length()))
+    shift = 64 - (n_bits.bit_length() - 1)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(n_bits >> 3, np.uint8)
+        for b in batches:
+            where = (b.column(0).to_numpy().view(np.uint64) >> np.uint64(shift)).astype(np.int64)
+            np.bitwise_or.at(bits, where >> 3, (1 << (where & 7)).astype(np.uint8))
+        pieces = bits.reshape(-1, min(PIECE_BYTES, len(bits)))
+        some = np.nonzero(pieces.any(axis=1))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([pieces[i].tobytes() for i in some], pa.binary())], names=["piece", "bits"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        both = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t["bits"].to_pylist()])
+        return pa.table({"piece": t["piece"][:1], "bits": pa.array([both.tobytes()], pa.binary())})
+
+    pieces = keys.select("h1").mapInArrow(mark, "piece bigint, bits binary").groupBy("piece").applyInArrow(merge, "piece bigint, bits binary").toArrow()
+    out = np.zeros(n_bits >> 3, np.uint8)
+    size = min(PIECE_BYTES, len(out))
+    for piece, bits in zip(pieces["piece"].to_pylist(), pieces["bits"].to_pylist(), strict=True):
+        out[piece * size : (piece + 1) * size] = np.frombuffer(bits, np.uint8)
+    return out, shift
+
+
+def _shuffled_matches(docs: DataFrame, items: DataFrame, names: tuple[str, str, str, str], run: int, total: int) -> DataFrame:
+    doc_key, doc_text, item_key, item_text = names
+    wanted = cut(_key_rows(items, item_key, item_text, "item", run))
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(wanted, total))  # at most FILTER_BITS bits
+    met = _key_rows(docs, doc_key, doc_text, "doc", run, sent).withColumn("spread", F.pmod(F.xxhash64("doc"), F.lit(SPREAD)))
+    wanted = wanted.withColumnRenamed("at", "item_at").withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<bigint>")))
+    hits = met.join(wanted, ["h1", "h2", "spread"]).select("doc", "item", "at", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    place = F.row_number().over(Window.partitionBy("doc", "item", "diagonal").orderBy("at"))
+    runs = hits.withColumn("run", F.col("at") - place).groupBy("doc", "item", "diagonal", "run").agg(F.min("at").alias("doc_word"), (F.count("*") + run - 1).alias("n_words"))
+    return _longest(runs.select("doc", "item", "doc_word", "n_words"))
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
