@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.session import cut
+from pagewright.session import cut, drop
 
 
 def min_labels(ties: DataFrame, record: str = "record", entity: str = "entity") -> DataFrame:
@@ -21,16 +21,18 @@ def min_labels(ties: DataFrame, record: str = "record", entity: str = "entity")
     graph = cut(ties.distinct())
     shared = graph.groupBy("e").agg(F.min("l").alias("m"), F.max("l").alias("x")).where("m < x").select("e", "m")
     active = cut(graph.join(shared, "e"))
-    labels = active.select(F.col("l").alias("r"), "l").distinct()
+    labels = cut(active.select(F.col("l").alias("r"), "l").distinct())
     while not active.isEmpty():
         hook = active.groupBy("l").agg(F.min("m").alias("h"))
         for _ in range(2):
             onward = hook.select(F.col("l").alias("h"), F.col("h").alias("h2"))
             hook = hook.join(onward, "h", "left").select("l", F.coalesce("h2", "h").alias("h"))
         hook = cut(hook)
+        before = (graph, hook, labels, active)
         labels = cut(labels.join(hook, "l", "left").select("r", F.coalesce("h", "l").alias("l")))
-        graph = active.join(hook, "l").select(F.col("h").alias("l"), "e").distinct()
-        graph = cut(graph)
+        graph = cut(active.join(hook, "l").select(F.col("h").alias("l"), "e").distinct())
         shared = graph.groupBy("e").agg(F.min("l").alias("m"), F.max("l").alias("x")).where("m < x").select("e", "m")
         active = cut(graph.join(shared, "e"))
+        drop(*before)
+    drop(graph)
     return labels.select(F.col("r").alias(record), F.col("l").alias("label"))

@@ -121,6 +121,13 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.grouped_split(table(spark, d, "query_list"), "query_id", cut(_groups(spark, d)), tx.norm(F.col("category")), table(spark, d, "split_targets"))
 
 
+@REGISTRY("p5_deviation")
+def p5_deviation(spark: SparkSession, d: str) -> DataFrame:
+    """How far each label's share of each split is from the wanted one."""
+    q, targets = table(spark, d, "query_list"), table(spark, d, "split_targets")
+    return splits.deviations(q, "query_id", p5_splits(spark, d), tx.norm(F.col("category")), targets)
+
+
 @REGISTRY("p7_ids")
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_column(table(spark, d, "documents"), "doc_id", "text")

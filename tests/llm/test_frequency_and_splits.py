@@ -97,6 +97,24 @@ def test_grouped_split(spark):
     assert splits.grouped_split(df.limit(0), "k", groups.limit(0), F.col("label"), targets).count() == 0
 
 
-def test_place_is_greedy_and_whole():
-    units = np.array([[10.0, 0.0], [0.0, 10.0], [1.0, 1.0], [1.0, 1.0]])
-    assert set(splits.place(units, np.array([0.5, 0.5])).tolist()) == {0, 1}
+def test_place_gives_each_profile_its_share():
+    profiles = [([0], [10]), ([1], [10]), ([0, 1], [1, 1]), ([1], [1])]
+    out = splits.place(profiles, [1, 1, 2, 7], np.array([0.5, 0.5]), 2)
+    assert out.sum(axis=1).tolist() == [1, 1, 2, 7]
+    held = [sum(out[u, k] * sum(n) for u, (_, n) in enumerate(profiles)) for k in range(2)]
+    assert abs(held[0] - held[1]) <= 3
+    assert splits.place([([0], [1])], [10], np.array([0.8, 0.2]), 1).tolist() == [[8, 2]]
+
+
+@pytest.mark.parametrize("profiles", [2, 100_000])
+def test_split_deviation(spark, monkeypatch, profiles):
+    """Small groups of many label mixtures; with few profiles placed exactly the rest goes by units."""
+    monkeypatch.setattr(splits, "PROFILES", profiles)
+    df = spark.range(6000).select(F.col("id").alias("k"), F.concat(F.lit("l"), F.pmod(F.xxhash64("id"), F.lit(7)).cast("string")).alias("label"))
+    groups = df.select((F.floor(F.col("k") / 3) * 3).alias("group_id"), "k")
+    targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split_name string, fraction double")
+    placed = splits.grouped_split(df, "k", groups, F.col("label"), targets)
+    assert placed.count() == 6000 and placed.groupBy("group_id").agg(F.count_distinct("split_name").alias("n")).where("n > 1").count() == 0
+    out = splits.deviations(df, "k", placed, F.col("label"), targets).collect()
+    assert len(out) == 21 and sum(r.n for r in out) == 6000
+    assert max(abs(r.deviation) for r in out) < 0.02
