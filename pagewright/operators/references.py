@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as tx
-from pagewright.session import cut
+from pagewright.session import cut, drop
 
 
 def month_key(at: Column) -> Column:
@@ -77,8 +77,11 @@ def cascade(direct: DataFrame, edges: DataFrame) -> DataFrame:
         near = edges.join(front.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
         front = cut(near.join(known, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
+            drop(edges, front)
             return known
-        known = cut(known.unionByName(front))
+        grown = cut(known.unionByName(front))
+        drop(known)
+        known = grown
 
 
 def text_references(queries: DataFrame, pages: DataFrame) -> DataFrame:
@@ -109,16 +112,23 @@ def node(table: str | Column, key: Column) -> Column:
     return F.concat_ws(":", F.lit(table) if isinstance(table, str) else table, key.cast("string"))
 
 
-def record_edges(queries: DataFrame, pages: DataFrame) -> DataFrame:
-    """(child, parent): pages and queries hang on the documents they name. A document is one node however many rows speak of it."""
-    p = pages.select(node("image_page_metadata", F.col("page_id")).alias("child"), tx.name_stem(F.col("page_name")).alias("page"), tx.name_stem(F.col("document_name")).alias("doc"))
-    p = p.where("doc <> '' and (page is null or page <> doc)").select("child", "doc")
-    q = queries.select(node("query_list", F.col("query_id")).alias("child"), F.explode(tx.stem_set(F.col("pos_target_for_deepseek"))).alias("doc"))
-    return p.unionByName(q).select("child", node("document", F.col("doc")).alias("parent"))
+def record_edges(queries: DataFrame, pages: DataFrame, texts: DataFrame) -> DataFrame:
+    """(child, parent) of the foreign-key graph of rows and of the names by which rows speak of each other.
 
-
-def orphan_nodes(found: DataFrame, pages: DataFrame) -> DataFrame:
-    """(node): rows with a reference among ``found``, and documents whose own row (page and document name are one) is such a row."""
-    rows = found.select(node(F.col("src_table"), F.col("row_id")).alias("node")).distinct()
-    own = pages.select(node("image_page_metadata", F.col("page_id")).alias("node"), tx.name_stem(F.col("page_name")).alias("page"), tx.name_stem(F.col("document_name")).alias("doc")).where("page = doc and doc <> ''")
-    return rows.unionByName(own.join(rows, "node", "left_semi").select(node("document", F.col("doc")).alias("node"))).distinct()
+    A document (by stem) hangs on its own row, the page row that names itself. Pages and queries hang on the documents they name. The words
+    of a query (``norm``) hang on the queries that have them, and a clustered text on the queries it lists. So what hangs on a document's
+    own row is up to four steps away. A name is one node however many rows speak of it, and hangs on each of them.
+    """
+    p = pages.select(node("image_page_metadata", F.col("page_id")).alias("row"), tx.name_stem(F.col("page_name")).alias("page"), tx.name_stem(F.col("document_name")).alias("doc")).where("doc <> ''")
+    own = p.where("page = doc").select(node("document", F.col("doc")).alias("child"), F.col("row").alias("parent"))
+    on_document = p.where("page is null or page <> doc").select(F.col("row").alias("child"), node("document", F.col("doc")).alias("parent"))
+    query = node("query_list", F.col("query_id"))
+    targets = queries.select(query.alias("child"), F.explode(tx.stem_set(F.col("pos_target_for_deepseek"))).alias("doc")).select("child", node("document", F.col("doc")).alias("parent"))
+    words = queries.select(tx.norm(F.col("query")).alias("words"), query.alias("parent")).where("words <> ''").select(node("query", F.col("words")).alias("child"), "parent")
+    listed = texts.select(node("data_text_with_cluster_ids", F.col("record_id")).alias("child"), F.explode(tx.term_set(F.col("querys"))).alias("words")).select("child", node("query", F.col("words")).alias("parent"))
+    return own.unionByName(on_document).unionByName(targets).unionByName(words).unionByName(listed)
+
+
+def orphan_nodes(found: DataFrame) -> DataFrame:
+    """(node): rows with a reference among ``found``."""
+    return found.select(node(F.col("src_table"), F.col("row_id")).alias("node")).distinct()

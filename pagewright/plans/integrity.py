@@ -37,27 +37,33 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    """(src_table, row_id, month_key, kind): rows that hold an orphan reference (direct) or hang on a document that does (inherited)."""
-    queries, pages = table(spark, d, "query_list"), table(spark, d, "image_page_metadata")
-    found = cut(_found(spark, d))
-    reached = refs.cascade(refs.orphan_nodes(found, pages), refs.record_edges(queries, pages))
-    rows = queries.select(F.lit("query_list").alias("src_table"), F.col("query_id").alias("row_id"), F.col("created_at").alias("at")).unionByName(
-        pages.select(F.lit("image_page_metadata").alias("src_table"), F.col("page_id").alias("row_id"), F.col("rendered_at").alias("at"))
-    )
-    rows = rows.withColumn("node", refs.node(F.col("src_table"), F.col("row_id")))
-    return rows.join(reached, "node").select("src_table", "row_id", refs.month_key(F.col("at")).alias("month_key"), F.when(F.col("depth") == 0, "direct").otherwise("inherited").alias("kind"))
+    """(src_table, row_id, month_key, kind, depth): rows that hold an orphan reference (direct) or hang on one that does (inherited), and how many steps away."""
+    queries, pages, texts = (table(spark, d, t) for t in ("query_list", "image_page_metadata", "data_text_with_cluster_ids"))
+    reached = refs.cascade(refs.orphan_nodes(_found(spark, d)), refs.record_edges(queries, pages, texts))
 
+    def rows(df: DataFrame, name: str, key: str, at: str | None) -> DataFrame:
+        return df.select(F.lit(name).alias("src_table"), F.col(key).alias("row_id"), (F.col(at) if at else F.lit(None).cast("timestamp_ntz")).alias("at"))
 
+    every = rows(queries, "query_list", "query_id", "created_at").unionByName(rows(pages, "image_page_metadata", "page_id", "rendered_at")).unionByName(rows(texts, "data_text_with_cluster_ids", "record_id", None))
+    every = every.withColumn("node", refs.node(F.col("src_table"), F.col("row_id")))
+    kind = F.when(F.col("depth") == 0, "direct").otherwise("inherited").alias("kind")
+    return every.join(reached, "node").select("src_table", "row_id", refs.month_key(F.col("at")).alias("month_key"), kind, "depth")
+
+
+NORM = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 ROWS = f"""
-WITH found AS ({FOUND}), direct AS (SELECT DISTINCT src_table, row_id FROM found),
-pg AS (SELECT page_id, rendered_at, {STEM.format('page_name')} AS page, {STEM.format('document_name')} AS doc FROM image_page_metadata),
-bad AS (SELECT DISTINCT doc FROM pg JOIN direct ON src_table = 'image_page_metadata' AND row_id = page_id WHERE page = doc AND doc <> ''),
-kid AS (
-  SELECT 'image_page_metadata' AS src_table, page_id AS row_id FROM pg SEMI JOIN bad USING (doc) WHERE page IS NULL OR page <> doc
-  UNION SELECT 'query_list', query_id FROM (SELECT query_id, {STEM.format('v')} AS doc FROM (SELECT query_id, unnest(pos_target_for_deepseek) AS v FROM query_list)) SEMI JOIN bad USING (doc)),
-rws AS (SELECT 'query_list' AS src_table, query_id AS row_id, created_at AS tm FROM query_list UNION ALL SELECT 'image_page_metadata', page_id, rendered_at FROM image_page_metadata),
-kinds AS (SELECT src_table, row_id, 'direct' AS kind FROM direct UNION ALL SELECT src_table, row_id, 'inherited' FROM (SELECT * FROM kid ANTI JOIN direct USING (src_table, row_id)))
-SELECT src_table, row_id, coalesce(strftime(tm, '%Y-%m'), 'unknown') AS month_key, kind FROM rws JOIN kinds USING (src_table, row_id)
+WITH RECURSIVE found AS ({FOUND}),
+pg AS (SELECT 'image_page_metadata:' || page_id AS row, {STEM.format('page_name')} AS page, {STEM.format('document_name')} AS doc FROM image_page_metadata WHERE document_name IS NOT NULL),
+edge AS (
+  SELECT 'document:' || doc AS child, row AS parent FROM pg WHERE doc <> '' AND page = doc
+  UNION SELECT row, 'document:' || doc FROM pg WHERE doc <> '' AND (page IS NULL OR page <> doc)
+  UNION SELECT 'query_list:' || query_id, 'document:' || {STEM.format('v')} FROM (SELECT query_id, unnest(pos_target_for_deepseek) AS v FROM query_list) WHERE v IS NOT NULL
+  UNION SELECT 'query:' || {NORM.format('query')}, 'query_list:' || query_id FROM query_list WHERE {NORM.format('query')} <> ''
+  UNION SELECT 'data_text_with_cluster_ids:' || record_id, 'query:' || {NORM.format('v')} FROM (SELECT record_id, unnest(querys) AS v FROM data_text_with_cluster_ids) WHERE {NORM.format('v')} <> ''),
+reach(node, depth) AS (SELECT DISTINCT src_table || ':' || row_id, 0 FROM found UNION SELECT child, depth + 1 FROM reach JOIN edge ON parent = node WHERE depth < 12),
+least_depth AS (SELECT node, min(depth)::INTEGER AS depth FROM reach GROUP BY node),
+rws AS (SELECT 'query_list' AS src_table, query_id AS row_id, created_at AS tm FROM query_list UNION ALL SELECT 'image_page_metadata', page_id, rendered_at FROM image_page_metadata UNION ALL SELECT 'data_text_with_cluster_ids', record_id, NULL FROM data_text_with_cluster_ids)
+SELECT src_table, row_id, coalesce(strftime(tm, '%Y-%m'), 'unknown') AS month_key, CASE depth WHEN 0 THEN 'direct' ELSE 'inherited' END AS kind, depth FROM rws JOIN least_depth ON node = src_table || ':' || row_id
 """
 
 
@@ -66,7 +72,8 @@ def p6_orphan_rows(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d)
 
 
-@REGISTRY("p6_report", f"SELECT src_table, month_key, count(*) FILTER (kind = 'direct') AS direct_rows, count(*) FILTER (kind = 'inherited') AS inherited_rows FROM ({ROWS}) GROUP BY ALL")
+@REGISTRY("p6_report", f"SELECT src_table, month_key, count(*) FILTER (kind = 'direct') AS direct_rows, count(*) FILTER (kind = 'inherited') AS inherited_rows, max(depth) AS deepest FROM ({ROWS}) GROUP BY ALL")
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    """Direct and inherited orphans per table and month."""
-    return _orphans(spark, d).groupBy("src_table", "month_key").agg(F.count_if(F.col("kind") == "direct").alias("direct_rows"), F.count_if(F.col("kind") == "inherited").alias("inherited_rows"))
+    """Direct and inherited orphans per table and month, and the most steps from a direct one."""
+    counts = [F.count_if(F.col("kind") == k).alias(f"{k}_rows") for k in ("direct", "inherited")]
+    return _orphans(spark, d).groupBy("src_table", "month_key").agg(*counts, F.max("depth").alias("deepest"))

@@ -41,7 +41,13 @@ def tables(spark):
     f = spark.createDataFrame(files, "file_id long, text_name string, registered_at timestamp_ntz, deleted_at timestamp_ntz")
     p = spark.createDataFrame(pages, "page_id long, page_name string, document_name string, rendered_at timestamp_ntz").withColumns({"name": F.lit("clash"), "found": F.lit(1), "category": F.lit(None).cast("string")})
     q = spark.createDataFrame(queries, "query_id long, pos_target_for_deepseek array<string>, created_at timestamp_ntz").withColumn("at", F.lit("clash"))
-    return q, p, f
+    return q.withColumn("query", F.when(F.col("query_id") < 5, F.concat(F.lit("Query no. "), F.col("query_id").cast("string")))), p, f
+
+
+def texts(spark):
+    """Clustered texts and the queries they list."""
+    rows = [(1, ["query NO 1!", None, ""]), (2, ["query no 4"]), (3, None), (4, [])]
+    return spark.createDataFrame(rows, "record_id long, querys array<string>").withColumn("parent", F.lit("clash"))
 
 
 def test_orphans_and_cascade(spark):
@@ -52,9 +58,10 @@ def test_orphans_and_cascade(spark):
         ("document_name", 2, "x"), ("document_name", 5, "z"), ("document_name", 6, "z"), ("document_name", 7, "x"), ("page_name", 2, "x_3"), ("page_name", 5, "z"), ("page_name", 6, "z_4"), ("page_name", 7, "x"),
         ("pos_target_for_deepseek", 1, "q"), ("pos_target_for_deepseek", 5, "z"),
     ]
-    reached = {r.node: r.depth for r in refs.cascade(refs.orphan_nodes(found, p), refs.record_edges(q, p)).collect()}
-    assert reached["image_page_metadata:7"] == 0 and reached["document:x"] == 0
-    assert reached["image_page_metadata:1"] == 1 and reached["image_page_metadata:8"] == 1  # sound themselves, but their document is an orphan
+    reached = {r.node: r.depth for r in refs.cascade(refs.orphan_nodes(found), refs.record_edges(q, p, texts(spark))).collect()}
+    assert reached["image_page_metadata:7"] == 0 and reached["document:x"] == 1
+    assert reached["query:query no 1"] == 1 and reached["data_text_with_cluster_ids:1"] == 2 and "data_text_with_cluster_ids:2" not in reached
+    assert reached["image_page_metadata:1"] == 2 and reached["image_page_metadata:8"] == 2  # sound themselves, but their document is an orphan
     assert reached["query_list:1"] == 0 and "query_list:4" not in reached and "image_page_metadata:3" not in reached
 
 
@@ -70,7 +77,7 @@ def test_empty_tables(spark):
     found = refs.orphan_references(refs.text_references(q.limit(0), p.limit(0)), refs.text_spans(f))
     assert found.count() == 0
     assert refs.orphan_references(refs.text_references(q, p), refs.text_spans(f.limit(0))).count() == 18
-    assert refs.cascade(refs.orphan_nodes(found, p), refs.record_edges(q, p)).count() == 0
+    assert refs.cascade(refs.orphan_nodes(found), refs.record_edges(q, p, texts(spark))).count() == 0
 
 
 def test_month_key(spark):
