@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import cluster, vector
 from pagewright.operators.sampling import few_rows
+from pagewright.session import cut
 
 SAMPLE_TOKENS = 100_000
 
@@ -42,7 +43,7 @@ def search(index: Index, packed: DataFrame, queries: DataFrame, doc: str, query:
     spark = packed.sparkSession
     kinds = f"`{query}` {queries.schema[query].dataType.simpleString()}, `{doc}` {packed.schema[doc].dataType.simpleString()}, score double"
     found = []
-    for ids, mats in vector._blocks(queries, query, block_vectors):
+    for ids, mats, only in vector._blocks(queries, query, block_vectors):
         near = {(i, int(c)) for i, m in zip(ids, mats, strict=True) for row in m for c in np.argsort(((index.centres - row) ** 2).sum(axis=1))[:probes]}
         asked = spark.createDataFrame(sorted(near), f"`{query}` {queries.schema[query].dataType.simpleString()}, cluster_id int")  # at most block_vectors x probes rows
         pairs = index.postings.join(F.broadcast(asked), "cluster_id").select(query, doc).distinct()
@@ -56,7 +57,11 @@ def search(index: Index, packed: DataFrame, queries: DataFrame, doc: str, query:
                     scores = [float((mats[q] @ d[at[i] : at[i + 1]].T).max(axis=1).sum()) for i, q in enumerate(b.column(0).to_pylist())]
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores)], names=[query, doc, "score"])
 
-        found.append(pairs.join(packed.where(F.size("vectors") > 0), doc).select(query, doc, "vectors").mapInArrow(run, kinds))
+        scored = vector.top(pairs.join(packed.where(F.size("vectors") > 0), doc).select(query, doc, "vectors").mapInArrow(run, kinds), [query], F.col("score"), [F.col(doc)], top_k)
+        if not only:
+            scored = cut(scored)
+            sent.destroy()
+        found.append(scored)
     if not found:
         return spark.createDataFrame([], kinds + ", rank int")
-    return vector.top(reduce(DataFrame.unionAll, found), [query], F.col("score"), [F.col(doc)], top_k)
+    return reduce(DataFrame.unionByName, found)

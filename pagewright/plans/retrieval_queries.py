@@ -51,13 +51,13 @@ def vec_maxsim_top10(spark: SparkSession, d: str) -> DataFrame:
 
 def _singles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     t = table(spark, d, "embeddings").select("vec_id", F.array(V.normalised(V.as_double(F.col("embedding")))).alias("vectors"))
-    return t, t.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "qid")
+    return t, t.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid")
 
 
 UNIT = "u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings)"
 
 
-@REGISTRY("vec_cosine_top10", f"WITH {UNIT}, s AS (SELECT a.vec_id AS qid, b.vec_id, list_inner_product(a.v, b.v) AS s FROM u a, u b WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 6) DESC, vec_id) - 1 AS rank FROM s) SELECT qid, vec_id, round(s, 6) AS score, rank FROM r WHERE rank < 10", "V2 T2")
+@REGISTRY("vec_cosine_top10", f"WITH {UNIT}, s AS (SELECT a.vec_id AS qid, b.vec_id, list_inner_product(a.v, b.v) AS s FROM u a, u b WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 6) DESC, vec_id) - 1 AS rank FROM s) SELECT qid, vec_id, round(s, 6) AS score, rank FROM r WHERE rank < 10", "V2 T2")
 def vec_cosine_top10(spark: SparkSession, d: str) -> DataFrame:
     docs, queries = _singles(spark, d)
     top = X.maxsim(docs, queries, "vec_id", "qid", 10)
@@ -79,19 +79,18 @@ def vec_padded_scores(spark: SparkSession, d: str) -> DataFrame:
     return X.maxsim(docs, X.pack(fx.query_tokens(spark, d), "qid", "tok", "e"), "doc_id", "qid", zero_pad_block=8).select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
-@REGISTRY("vec_single_scores", f"WITH {UNIT} SELECT a.vec_id AS qid, b.vec_id, round(list_inner_product(a.v, b.v), 6) AS score FROM u a, u b WHERE a.vec_id % 50 = 0", "V4")
+@REGISTRY("vec_single_scores", f"WITH {UNIT} SELECT a.vec_id AS qid, b.vec_id, round(list_inner_product(a.v, b.v), 6) AS score FROM u a, u b WHERE a.vec_id % 20 = 0", "V4")
 def vec_single_scores(spark: SparkSession, d: str) -> DataFrame:
     docs, queries = _singles(spark, d)
     return X.maxsim(docs, queries, "vec_id", "qid").select("qid", "vec_id", F.round("score", 6).alias("score"))
 
 
-@REGISTRY("vec_page_documents", f"WITH {SCORES}, {PAGE_MAP}, a AS (SELECT qid, document, max(s) AS best, avg(s) AS mean FROM ranked JOIN page_map USING (doc_id) WHERE rank < 30 GROUP BY ALL) SELECT qid, document, round(best, 6) AS best, round(mean, 6) AS mean, row_number() OVER (PARTITION BY qid ORDER BY round(best, 6) DESC, document) - 1 AS rank FROM a QUALIFY rank < 10", "T3 A4 V8")
+@REGISTRY("vec_page_documents", f"WITH {SCORES}, {PAGE_MAP}, a AS (SELECT qid, document, max(s) AS best, avg(s) AS mean FROM ranked JOIN page_map USING (doc_id) WHERE rank < 300 GROUP BY ALL) SELECT qid, document, round(best, 6) AS best, round(mean, 6) AS mean, row_number() OVER (PARTITION BY qid ORDER BY round(best, 6) DESC, document) - 1 AS rank FROM a QUALIFY rank < 10", "T3 A4 V8")
 def vec_page_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The best 30 pages of each query, then their documents by best score; the mean sees those pages only."""
-    cut, pages = fx.scores(spark, d, 30), fx.page_map(spark, d)
-    best = X.pages_to_documents(cut, pages, "qid", "doc_id").withColumnRenamed("score", "best")
-    mean = X.pages_to_documents(cut, pages, "qid", "doc_id", "avg").withColumnRenamed("score", "mean")
-    ranked = X.top(best.join(mean, ["qid", "document"]), ["qid"], F.col("best"), [F.col("document")], 10)
+    """The best 300 pages of each query, then their documents by best score; the mean sees those pages only."""
+    cut, pages = fx.scores(spark, d, 300), fx.page_map(spark, d)
+    both = X.pages_to_documents(cut, pages, "qid", "doc_id", best="max", mean="avg")
+    ranked = X.top(both, ["qid"], F.col("best"), [F.col("document")], 10)
     return ranked.select("qid", "document", F.round("best", 6).alias("best"), F.round("mean", 6).alias("mean"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -175,12 +174,15 @@ PAGED_STRATEGIES = ("first4", "last4", "first2_last2", "uniform4")
 
 
 def _strategy_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Pages know the strategies that choose them; of each batch only the best score per strategy, query and document leaves the worker."""
     pages = fx.page_map(spark, d)
     docs = pages.groupBy("document").agg(F.count("*").cast("int").alias("n"))
     place = (F.row_number().over(Window.partitionBy("document").orderBy("doc_id")) - 1).cast("int")
     chosen = P.strategy_table(docs, "document", "n", PAGED_STRATEGIES).join(pages.withColumn("page_index", place), ["document", "page_index"])
-    by_doc = fx.scores(spark, d).join(chosen, "doc_id").groupBy("strategy", "qid", "document").agg(F.max("score").alias("score"))
-    return X.top(by_doc.withColumnRenamed("document", "doc_id"), ["strategy", "qid"], F.col("score"), [F.col("doc_id")], 10)
+    of = chosen.groupBy("doc_id", "document").agg(F.collect_list("strategy").alias("groups"))
+    packed = X.pack(fx.doc_tokens(spark, d), "doc_id", "tok", "e").join(of, "doc_id").select(F.col("document").alias("doc_id"), "vectors", "groups")
+    by_doc = X.maxsim(packed, X.pack(fx.query_tokens(spark, d), "qid", "tok", "e"), "doc_id", "qid", group="strategy")
+    return X.top(by_doc, ["strategy", "qid"], F.col("score"), [F.col("doc_id")], 10)
 
 
 @REGISTRY("page_strategy_search", f"WITH {PAGED} SELECT strategy, qid, doc_id, round(s, 6) AS score, rank FROM sr", "V7 V11")
@@ -234,7 +236,7 @@ def metric_by_page_group(spark: SparkSession, d: str) -> DataFrame:
     """Truth restricted to documents of a page-count group; the ranking stays that of all."""
     pages = fx.page_map(spark, d)
     grouped = pages.groupBy("document").agg(F.count("*").alias("n")).select("document", F.when(F.col("n") <= 3, "short").when(F.col("n") <= 9, "middle").otherwise("long").alias("page_group"))
-    ranked = X.top(X.pages_to_documents(fx.scores(spark, d), pages, "qid", "doc_id"), ["qid"], F.col("score"), [F.col("document")], 10).select("qid", F.col("document").alias("doc_id"), "rank")
+    ranked = X.top(X.pages_to_documents(fx.scores(spark, d), pages, "qid", "doc_id", score="max"), ["qid"], F.col("score"), [F.col("document")], 10).select("qid", F.col("document").alias("doc_id"), "rank")
     truth = fx.truth(spark, d).join(pages, "doc_id").join(grouped, "document").select("page_group", "qid", F.col("document").alias("doc_id")).distinct()
     results = ranked.select("*", F.explode(F.array(*[F.lit(g) for g in ("short", "middle", "long")])).alias("page_group"))
     per = M.query_metrics(results, truth, "qid", "doc_id", groups=("page_group",))
@@ -252,9 +254,12 @@ def sample_nested_pools(spark: SparkSession, d: str) -> DataFrame:
 
 @REGISTRY("metric_scale_gradient", f"WITH {SCORES}, {POOLS}, sp AS (SELECT ratio, qid, doc_id, row_number() OVER (PARTITION BY ratio, qid ORDER BY round(s, 6) DESC, doc_id) - 1 AS rank FROM score JOIN pool USING (doc_id)), pg AS (SELECT ratio, qid, doc_id FROM gt JOIN pool USING (doc_id)), {_metrics('sp', 'pg', 'ratio, qid')} SELECT ratio, k, {MEANS}, count(*) AS valid_queries FROM metric GROUP BY ratio, k", "M9 A15 F7")
 def metric_scale_gradient(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics over nested pools; documents are scored once."""
+    """Metrics over nested pools; documents are scored once and know their pools, and only the best of each pool leave the workers."""
     pool = B.nested_pools(fx.doc_tokens(spark, d).select("doc_id").distinct(), "doc_id", list(RATIOS))
-    ranked = X.top(fx.scores(spark, d).join(pool, "doc_id"), ["ratio", "qid"], F.col("score"), [F.col("doc_id")], 10)
+    of = pool.groupBy("doc_id").agg(F.collect_list(F.col("ratio").cast("string")).alias("groups"))
+    packed = X.pack(fx.doc_tokens(spark, d), "doc_id", "tok", "e").join(of, "doc_id")
+    scored = X.maxsim(packed, X.pack(fx.query_tokens(spark, d), "qid", "tok", "e"), "doc_id", "qid", top_k=10, group="ratio").withColumn("ratio", F.col("ratio").cast("double"))
+    ranked = X.top(scored, ["ratio", "qid"], F.col("score"), [F.col("doc_id")], 10)
     per = M.query_metrics(ranked, fx.truth(spark, d).join(pool, "doc_id"), "qid", "doc_id", groups=("ratio",))
     return per.groupBy("ratio", "k").agg(*[F.round(F.avg(m), 4).alias(m) for m in ("precision", "recall", "mrr", "ndcg")], F.count("*").alias("valid_queries"))
 
@@ -263,17 +268,17 @@ def metric_scale_gradient(spark: SparkSession, d: str) -> DataFrame:
 def metric_two_rankings(spark: SparkSession, d: str) -> DataFrame:
     """Two rankings side by side: means per category, rounded, and their unweighted mean."""
     scored = fx.scores(spark, d)
-    a = X.top(scored, ["qid"], F.col("score"), [F.col("doc_id")], 10).select(F.lit("maxsim").alias("method"), "qid", "doc_id", "rank")
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.md5(F.concat(F.col("qid").cast("string"), F.lit("/"), F.col("doc_id").cast("string"))))) - 1
-    b = scored.withColumn("rank", place).where("rank < 10").select(F.lit("shuffled").alias("method"), "qid", "doc_id", "rank")
+    a = X.top(fx.scores(spark, d, 10), ["qid"], F.col("score"), [F.col("doc_id")], 10).select(F.lit("maxsim").alias("method"), "qid", "doc_id", "rank")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.md5(F.concat(F.col("qid").cast("string"), F.lit("/"), F.col("doc_id").cast("string")))))
+    b = scored.withColumn("place", place).where("place <= 10").withColumn("rank", F.col("place") - 1).select(F.lit("shuffled").alias("method"), "qid", "doc_id", "rank")
     truth = fx.truth(spark, d).select("*", F.explode(F.array(F.lit("maxsim"), F.lit("shuffled"))).alias("method"))
     per = M.query_metrics(a.unionByName(b), truth, "qid", "doc_id", groups=("method",))
     return M.mean_metrics(M.mean_metrics(per.withColumn("category", F.col("qid") % 3), ("method", "category", "k")), ("method", "k"))
 
 
-@REGISTRY("sample_sized_pool", f"WITH {TOKENS}, pos AS (SELECT DISTINCT doc_id FROM gt WHERE qid < 3), docs AS (SELECT DISTINCT doc_id FROM doc_tok), neg AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS r FROM docs ANTI JOIN pos USING (doc_id)) SELECT doc_id, true AS positive FROM pos UNION ALL SELECT doc_id, false FROM neg WHERE r <= least(greatest(30, (SELECT count(*) FROM pos)), (SELECT count(*) FROM docs)) - (SELECT count(*) FROM pos)", "B3 V10")
+@REGISTRY("sample_sized_pool", f"WITH {TOKENS}, pos AS (SELECT DISTINCT doc_id FROM gt WHERE qid < 60), docs AS (SELECT DISTINCT doc_id FROM doc_tok), neg AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS r FROM docs ANTI JOIN pos USING (doc_id)) SELECT doc_id, true AS positive FROM pos UNION ALL SELECT doc_id, false FROM neg WHERE r <= least(greatest(30, (SELECT count(*) FROM pos)), (SELECT count(*) FROM docs)) - (SELECT count(*) FROM pos)", "B3 V10")
 def sample_sized_pool(spark: SparkSession, d: str) -> DataFrame:
-    pos = fx.truth(spark, d).where("qid < 3").select("doc_id").distinct().withColumn("p", F.lit(True))
+    pos = fx.truth(spark, d).where("qid < 60").select("doc_id").distinct().withColumn("p", F.lit(True))
     docs = fx.doc_tokens(spark, d).select("doc_id").distinct().join(pos, "doc_id", "left").select("doc_id", F.coalesce("p", F.lit(False)).alias("positive"))
     return B.sized_pool(docs, "doc_id", "positive", 30)
 

@@ -116,20 +116,20 @@ def fn_prompt_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 E = "embedding::DOUBLE[]"
-PAIR = f"SELECT a.vec_id, a.{E} AS x, b.{E} AS y FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id + 7) % 100 WHERE a.vec_id < 100"
+PAIR = f"SELECT a.vec_id, a.{E} AS x, b.{E} AS y FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id + 7) % (SELECT count(*) FROM embeddings)"
 
 
 @REGISTRY(
     "fn_vector_math",
-    f"""SELECT vec_id, round(list_inner_product(x, y), 9) AS dot, round(CASE WHEN vec_id = (vec_id + 7) % 100 THEN 0 ELSE 1 - list_inner_product(x, y) END, 9) AS cosine_distance,
+    f"""SELECT vec_id, round(list_inner_product(x, y), 9) AS dot, round(CASE WHEN vec_id = (vec_id + 7) % (SELECT count(*) FROM embeddings) THEN 0 ELSE 1 - list_inner_product(x, y) END, 9) AS cosine_distance,
   round(list_sum(list_transform(x, lambda v: v / sqrt(list_inner_product(x, x)))), 9) AS unit_sum, round(greatest(x[1] * 50, 0) + ln(1 + exp(-abs(x[1] * 50))), 9) AS softplus,
   round(list_max(x) + ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))), 9) AS lse, round(0.1 * (list_max(x) / 0.1 + ln(list_sum(list_transform(x, lambda v: exp((v - list_max(x)) / 0.1))))), 9) AS smooth_max,
   round(exp(x[1]) / list_sum(list_transform(x, lambda v: exp(v))), 9) AS softmax_first, round(1 / log2(vec_id + 2), 9) AS discount FROM ({PAIR})""",
     "P20 P21 P22 P24 P25",
 )
 def fn_vector_math(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").where("vec_id < 100").select("vec_id", V.as_double(F.col("embedding")).alias("v"))
-    a = e.select("vec_id", F.col("v").alias("x"), ((F.col("vec_id") + 7) % 100).alias("other"))
+    e = table(spark, d, "embeddings").select("vec_id", V.as_double(F.col("embedding")).alias("v"))
+    a = e.select("vec_id", F.col("v").alias("x"), ((F.col("vec_id") + 7) % max(1, e.count())).alias("other"))
     t = a.join(e.select(F.col("vec_id").alias("other"), F.col("v").alias("y")), "other")
     x, y = F.col("x"), F.col("y")
     cols = {
@@ -146,13 +146,13 @@ def fn_min_max_scaled(spark: SparkSession, d: str) -> DataFrame:
     return s.join(ends, "g").select("vec_id", F.round((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-10), 9).alias("scaled"))
 
 
-PADDED = "SELECT d AS doc, t AS tok, CASE WHEN t < 2 OR t >= 10 OR t = 5 THEN list_transform(range(64), lambda i: 0.0::DOUBLE) ELSE (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = d * 12 + t) END AS e FROM (SELECT unnest(range(20)) AS d), (SELECT unnest(range(12)) AS t)"
+PADDED = "SELECT d AS doc, t AS tok, CASE WHEN t < 2 OR t >= 10 OR t = 5 THEN list_transform(range(64), lambda i: 0.0::DOUBLE) ELSE (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = d * 12 + t) END AS e FROM (SELECT unnest(range((SELECT count(*) FROM embeddings) // 12)) AS d), (SELECT unnest(range(12)) AS t)"
 
 
 @REGISTRY("fn_unpadded_tokens", f"WITH p AS ({PADDED}), z AS (SELECT *, list_bool_or(list_transform(e, lambda x: x <> 0)) AS live FROM p), m AS (SELECT doc, min(tok) FILTER (live) AS a, max(tok) FILTER (live) AS b, count(*) FILTER (e[1] <> 0) AS n FROM z GROUP BY doc) SELECT doc, tok, n AS query_length, tok >= a AS left_kept, tok <= b AS right_kept FROM z JOIN m USING (doc)", "P26 P27")
 def fn_unpadded_tokens(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", V.as_double(F.col("embedding")).alias("v"))
-    grid = spark.range(240).select(F.floor(F.col("id") / 12).alias("doc"), (F.col("id") % 12).alias("tok"), F.col("id").alias("vec_id"))
+    grid = spark.range(e.count() // 12 * 12).select(F.floor(F.col("id") / 12).alias("doc"), (F.col("id") % 12).alias("tok"), F.col("id").alias("vec_id"))
     blank = (F.col("tok") < 2) | (F.col("tok") >= 10) | (F.col("tok") == 5)
     p = grid.join(e, "vec_id", "left").withColumn("e", F.when(blank, F.array_repeat(F.lit(0.0), 64)).otherwise(F.col("v")))
     z = p.withColumn("live", F.exists("e", lambda x: x != 0))

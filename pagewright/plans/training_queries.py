@@ -12,11 +12,12 @@ from pagewright.operators import collate as L
 from pagewright.operators import grouping as G
 from pagewright.operators import losses as X
 from pagewright.operators import sampling as B
-from pagewright.operators.vector import maxsim
+from pagewright.operators.vector import pack
+from pagewright.operators.vector import pair_scores
 from pagewright.plans import fixtures as fx
-from pagewright.plans.fixtures import SCORES, TOKENS
+from pagewright.plans.fixtures import TOKENS
 from pagewright.plans.registry import Registry
-from pagewright.session import table
+from pagewright.session import cut, table
 
 REGISTRY = Registry()
 
@@ -105,16 +106,34 @@ def collate_shared(spark: SparkSession, d: str) -> DataFrame:
     return L.shared_positive_mask(e, "batch", "query_id", "pos_target", 3)
 
 
-# losses: scores of 10 queries and the first 10 documents, each a quarter of MaxSim
+# losses: batches of 10 queries and the 10 documents of the same numbers, scores a quarter of MaxSim; all batches that the documents fill
 
-BATCH = f"{SCORES}, sc AS (SELECT qid AS q, doc_id AS d, s / 4 AS s FROM score WHERE doc_id < 10), pos AS (SELECT unnest(range(10)) AS q, unnest(range(10)) AS d), neg AS (SELECT q, (q + 17) % 50 AS d FROM pos), alls AS (SELECT qid AS q, doc_id AS d, s / 4 AS s FROM score), truth AS (SELECT qid AS q, doc_id AS d FROM gt WHERE doc_id < 10)"
+NUMBERED = """docs AS (SELECT DISTINCT doc_id FROM doc_tok), every AS (SELECT vec_id // 4 AS q, vec_id % 4 AS tok, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id // 4 IN (SELECT doc_id FROM docs)),
+pos AS (SELECT DISTINCT q, q AS d FROM every), neg AS (SELECT q, (q + 17) % (SELECT count(*) FROM docs) AS d FROM pos),
+inner_p AS (SELECT a.q, b.d FROM pos a JOIN pos b ON a.q // 10 = b.q // 10)"""
+BATCH = f"""{TOKENS}, {NUMBERED}, best_p AS (SELECT p.q, p.d, x.tok, max(list_inner_product(x.e, t.e)) AS m FROM (SELECT * FROM inner_p UNION SELECT * FROM neg) p JOIN every x USING (q) JOIN doc_tok t ON t.doc_id = p.d GROUP BY ALL),
+alls AS (SELECT q, d, sum(m) / 4 AS s FROM best_p GROUP BY ALL), sc AS (SELECT * FROM alls SEMI JOIN inner_p USING (q, d)),
+truth AS (SELECT p.q, p.d FROM inner_p p JOIN every x ON x.q = p.q AND x.tok = 0 JOIN doc_tok t ON t.doc_id = p.d AND t.tok = 0 WHERE x.label = t.label)"""
+
+
+def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Queries (q, tok, label, e) that have a document of their number; positive, explicit negative and all pairs (q, d) of the batches."""
+    docs = fx.doc_tokens(spark, d).select(F.col("doc_id").alias("q")).distinct()
+    every = fx.query_tokens(spark, d, every=True).withColumnRenamed("qid", "q").join(docs, "q", "left_semi")
+    pos = every.select("q", F.col("q").alias("d")).distinct()
+    neg = pos.select("q", ((F.col("q") + 17) % max(1, docs.count())).alias("d"))
+    batch = F.floor(F.col("q") / 10).alias("batch")
+    inner = pos.select("q", batch).join(pos.select("d", batch), "batch").select("q", "d")
+    return every, pos, neg, inner
 
 
 def _batch(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    alls = fx.scores(spark, d).select(F.col("qid").alias("q"), F.col("doc_id").alias("d"), (F.col("score") / 4).alias("s")).cache()
-    pos = spark.range(10).select(F.col("id").alias("q"), F.col("id").alias("d"))
-    truth = fx.truth(spark, d).where("doc_id < 10").select(F.col("qid").alias("q"), F.col("doc_id").alias("d"))
-    return {"sc": alls.where("d < 10"), "alls": alls, "pos": pos, "neg": pos.select("q", ((F.col("q") + 17) % 50).alias("d")), "truth": truth}
+    every, pos, neg, inner = _pairs(spark, d)
+    docs = fx.doc_tokens(spark, d)
+    packed = pack(docs.withColumnRenamed("doc_id", "d"), "d", "tok", "e"), pack(every, "q", "tok", "e")
+    alls = cut(pair_scores(inner.unionByName(neg).distinct(), *packed).withColumn("s", F.col("s") / 4))
+    labels = every.where("tok = 0").select("q", "label").join(docs.where("tok = 0").select(F.col("doc_id").alias("d"), "label"), "label")
+    return {"sc": alls.join(inner, ["q", "d"], "left_semi"), "alls": alls, "pos": pos, "neg": neg, "truth": labels.join(inner, ["q", "d"], "left_semi").select("q", "d")}
 
 
 def _lse(value: str, source: str = "sc", name: str = "l") -> str:
@@ -150,7 +169,7 @@ def _mix(a: str, b: str, w: float) -> str:
 
 @REGISTRY("loss_contrastive", _rows({"info_nce": NCE, "explicit_negative": NEG, "explicit_and_batch": _mix(NEG, NCE, 0.5), "pairwise": PAIR, "pairwise_explicit": _mix(NEG, PAIR, 0.5)}), "X1 X4 X5 X6 X7 T6")
 def loss_contrastive(spark: SparkSession, d: str) -> DataFrame:
-    """Late-interaction losses on one batch; T = 0.02, pairwise T = 1."""
+    """Late-interaction losses over all batches; T = 0.02, pairwise T = 1."""
     b = _batch(spark, d)
     nce, neg, pair = X.info_nce(b["sc"], b["pos"]), X.explicit_negatives(b["alls"], b["pos"], b["neg"]), X.pairwise(b["sc"], b["pos"])
     return _named({"info_nce": nce, "explicit_negative": neg, "explicit_and_batch": X.weighted(neg, nce, 0.5), "pairwise": pair, "pairwise_explicit": X.weighted(neg, pair, 0.5)})
@@ -168,23 +187,24 @@ def loss_filtered(spark: SparkSession, d: str) -> DataFrame:
     """Damped high negatives; and scores by query length where all lie within the bounds."""
     b = _batch(spark, d)
     damped = X.damped_negatives(b["sc"], b["pos"])
-    lengths = spark.range(10).select(F.col("id").alias("q"), F.lit(4).alias("len"))
+    lengths = b["pos"].select("q", F.lit(4).alias("len"))
     normed = X.normalised_scores(b["sc"].select("q", "d", "s"), lengths).withColumnRenamed("s", "by_length")
     return damped.join(normed, ["q", "d"]).select("q", "d", F.round("s", 6).alias("s"), F.round("by_length", 6).alias("by_length"))
 
 
-SINGLE = f"{BATCH.replace('sc AS', 'mv AS').replace('alls AS', 'mva AS')}, sc AS (SELECT a.vec_id // 4 AS q, b.vec_id // 10 AS d, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id < 40 AND a.vec_id % 4 = 0 AND b.vec_id % 10 = 0 AND b.vec_id < 100), alls AS (SELECT a.vec_id // 4 AS q, b.vec_id // 10 AS d, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id < 40 AND a.vec_id % 4 = 0 AND b.vec_id % 10 = 0)"
+SINGLE = f"""{TOKENS}, {NUMBERED}, alls AS (SELECT p.q, p.d, list_inner_product(x.e, t.e) AS s FROM (SELECT * FROM inner_p UNION SELECT * FROM neg) p JOIN every x ON x.q = p.q AND x.tok = 0 JOIN doc_tok t ON t.doc_id = p.d AND t.tok = 0),
+sc AS (SELECT * FROM alls SEMI JOIN inner_p USING (q, d))"""
 BI_PAIR = f"SELECT avg({SOFTPLUS.format('((h - p) / 0.02)')}) AS loss FROM {HARD}"
 
 
 @REGISTRY("loss_single_vector", f"WITH {SINGLE} " + " UNION ALL ".join(f"SELECT '{n}' AS name, round(loss, 6) AS loss FROM ({s})" for n, s in {"info_nce": NCE, "explicit_and_batch": _mix(NEG, NCE, 0.5), "pairwise": BI_PAIR, "pairwise_explicit": _mix(NEG, BI_PAIR, 0.5)}.items()), "X12 X13 X14 X15")
 def loss_single_vector(spark: SparkSession, d: str) -> DataFrame:
     """The same losses on dot products of one vector each."""
-    q = fx.query_tokens(spark, d).where("tok = 0").select(F.col("qid").alias("q"), F.array("e").alias("vectors"))
-    docs = fx.doc_tokens(spark, d).where("tok = 0").select(F.col("doc_id").alias("d"), F.array("e").alias("vectors"))
-    alls = maxsim(docs, q, "d", "q").withColumnRenamed("score", "s").cache()
-    s, pos = alls.where("d < 10"), spark.range(10).select(F.col("id").alias("q"), F.col("id").alias("d"))
-    neg = X.explicit_negatives(alls, pos, pos.select("q", ((F.col("q") + 17) % 50).alias("d")))
+    every, pos, negative, inner = _pairs(spark, d)
+    one = [t.where("tok = 0").select(k, F.array("e").alias("vectors")) for t, k in ((fx.doc_tokens(spark, d).withColumnRenamed("doc_id", "d"), "d"), (every, "q"))]
+    alls = cut(pair_scores(inner.unionByName(negative).distinct(), *one))
+    s = alls.join(inner, ["q", "d"], "left_semi")
+    neg = X.explicit_negatives(alls, pos, negative)
     nce, pair = X.info_nce(s, pos), X.pairwise(s, pos, 0.02)
     return _named({"info_nce": nce, "explicit_and_batch": X.weighted(neg, nce, 0.5), "pairwise": pair, "pairwise_explicit": X.weighted(neg, pair, 0.5)})
 

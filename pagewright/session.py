@@ -83,6 +83,11 @@ def cut(df: DataFrame) -> DataFrame:
     return kept
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder of its own in the shared folder, removed when the driver ends."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Remove tables that ``cut`` has returned and that no later plan reads. Anything else is left alone."""
     for df in tables:
