@@ -81,25 +81,27 @@ def elbow(points: DataFrame, key: str, vector: str, ks: list[int], iterations: i
 
 
 def k_medoids(distance: np.ndarray, k: int, rounds: int = 100) -> list[int]:
-    """Sorted medoids: the first has the least sum of distances, each further one lies farthest from those chosen, then they alternate. Ties: lowest number."""
-    n = len(distance)
-    if n <= k:
-        return list(range(n))
-    chosen = [int(distance.sum(axis=1).argmin())]
-    while len(chosen) < k:
-        gap = distance[:, chosen].min(axis=1)
-        gap[chosen] = -1.0
-        chosen.append(int(gap.argmax()))
+    """Sorted medoids: the first has the least sum of distances, each further one lies farthest from those chosen, then they alternate. Ties: lowest number.
+
+    In a round every point joins its nearest medoid, and each set of points takes the member with the least sum of distances to the set. The
+    sums of all points to all sets are one product of the distances and the 0-1 matrix of membership.
+    """
+    points = np.arange(len(distance))
+    if k >= len(points):
+        return points.tolist()
+    medoids = np.empty(k, np.int64)
+    medoids[0] = np.argmin(distance @ np.ones(len(points)))
+    for i in range(1, k):
+        from_chosen = np.min(distance[medoids[:i]], axis=0)
+        medoids[i] = np.argmax(np.where(np.isin(points, medoids[:i]), -np.inf, from_chosen))
     for _ in range(rounds):
-        owner = distance[:, chosen].argmin(axis=1)
-        renewed = []
-        for c in range(k):
-            own = np.nonzero(owner == c)[0]
-            renewed.append(int(own[distance[np.ix_(own, own)].sum(axis=1).argmin()]) if len(own) else chosen[c])
-        if renewed == chosen:
+        member = np.argmin(distance[:, medoids], axis=1)[:, None] == np.arange(k)[None, :]
+        cost = np.where(member, distance @ member.astype(float), np.inf)
+        moved = np.where(member.any(axis=0), np.argmin(cost, axis=0), medoids)
+        if (moved == medoids).all():
             break
-        chosen = renewed
-    return sorted(chosen)
+        medoids = moved
+    return sorted(int(m) for m in medoids)
 
 
 def medoid_pages(pages: DataFrame, doc: str, index: str, vector: str, k: int = 4) -> DataFrame:

@@ -11,11 +11,12 @@ from pagewright.operators import relational as R
 from pagewright.plans import fixtures as fx
 from pagewright.plans.fixtures import TOKENS
 from pagewright.plans.registry import Registry
+from pagewright.plans.retrieval_queries import FLAGSHIP, flagship_retrieval_metrics
 from pagewright.plans.scalar_queries import STEM, STRIP
-from pagewright.session import table
+from pagewright.session import scratch, table
 from pagewright.sources import external as E
 from pagewright.sources import records as I
-from pagewright.streaming.incremental import stream_counts
+from pagewright.streaming.incremental import stream_counts, stream_counts_to
 
 REGISTRY = Registry()
 ITEMS = "SELECT doc_id AS i, CASE WHEN doc_id % 4 = 0 THEN '0' WHEN doc_id % 4 = 1 THEN NULL ELSE doc_id::VARCHAR END AS id, CASE WHEN doc_id % 8 = 1 THEN '' ELSE text_name END AS name, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END AS text, source AS content FROM documents"
@@ -63,32 +64,61 @@ def scan_joined_pages(spark: SparkSession, d: str) -> DataFrame:
     return I.joined_pages(table(spark, d, "image_page_metadata").where("document_name IS NOT NULL"), "document_name", "page_id", "category")
 
 
-@REGISTRY("scan_by_category", "SELECT category, query_id, list_transform(list_filter(pos_target, lambda x: x IS NOT NULL AND x <> ''), lambda x: category || '/' || x) AS pos_target FROM query_list WHERE category IS NOT NULL AND len(list_filter(pos_target, lambda x: x IS NOT NULL AND x <> '')) > 0", "S13 F9 P11")
-def scan_by_category(spark: SparkSession, d: str) -> DataFrame:
-    """Training rows of all categories with prefixed targets; rows without any target left out."""
-    t = table(spark, d, "query_list").where("category IS NOT NULL").select("category", "query_id", S.prefixed(F.col("pos_target"), F.col("category")).alias("pos_target"))
-    return t.where(F.size("pos_target") > 0)
+PLAIN = "category IS NOT NULL AND regexp_matches(category, '^[a-z]+$')"
 
 
-@REGISTRY("scan_categories", "SELECT DISTINCT category FROM query_list WHERE category IS NOT NULL", "S14")
-def scan_categories(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "query_list").where("category IS NOT NULL").select("category").distinct()
+def _by_category(spark: SparkSession, d: str, name: str) -> str:
+    """A folder with root/<category>/``name`` for each plain category; the categories are a fixed handful."""
+    root, t = scratch(spark), table(spark, d, "query_list").where(F.col("category").rlike("^[a-z]+$"))
+    for (c,) in t.select("category").distinct().collect():
+        I.write_named(t.where(F.col("category") == c).select("query_id", "query", "pos_target"), f"{root}/{c}", name)
+    return root
 
 
-NAMES = "SELECT file_id, CASE WHEN file_id % 2 = 0 THEN 'query_list_text_' || category || '_with_pos_target_retrieved.json' ELSE 'x/' || text_name END AS f FROM text_files WHERE category IS NOT NULL"
+@REGISTRY("scan_by_category", f"SELECT category, query_id, list_transform(list_filter(pos_target, lambda x: x IS NOT NULL AND x <> ''), lambda x: category || '/' || x) AS pos_target FROM query_list WHERE {PLAIN} AND len(list_filter(pos_target, lambda x: x IS NOT NULL AND x <> '')) > 0", "S13 F9 P11")
+def scan_by_category(spark: SparkSession, d: str) -> DataFrame:
+    """A file of each category's folder, written and read again, with prefixed targets; rows without any target left out."""
+    rows = I.read_by_category(spark, _by_category(spark, d, "train.json"), "train.json", "query_id long, query string, pos_target array<string>")
+    t = rows.select("category", "query_id", S.prefixed(F.col("pos_target"), F.col("category")).alias("pos_target"))
+    return t.where(F.size("pos_target") > 0)
 
 
-@REGISTRY("scan_result_category", f"SELECT file_id, coalesce(nullif(regexp_extract(f, 'query_list_text_(\\w+?)_with_pos_target', 1), ''), {STEM.format('f')}) AS category FROM ({NAMES})", "S16")
-def scan_result_category(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "text_files").where("category IS NOT NULL")
-    f = F.when(F.col("file_id") % 2 == 0, F.concat(F.lit("query_list_text_"), "category", F.lit("_with_pos_target_retrieved.json"))).otherwise(F.concat(F.lit("x/"), "text_name"))
-    return t.select("file_id", I.result_category(f).alias("category"))
+@REGISTRY("scan_categories", f"SELECT DISTINCT category FROM query_list WHERE {PLAIN}", "S14")
+def scan_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Categories by the folders that have the file."""
+    return I.categories(spark, _by_category(spark, d, "train.json"), "train.json")
 
 
-@REGISTRY("scan_train_columns", "SELECT query_id, query, pos_target FROM query_list WHERE category = 'finance'", "S11 P30")
+@REGISTRY("scan_result_category", f"SELECT category, query_id, query FROM query_list WHERE {PLAIN}", "S16 K1")
+def scan_result_category(spark: SparkSession, d: str) -> DataFrame:
+    """Result files whose names hold their category, written beside others that are not to be read."""
+    folder, t = scratch(spark), table(spark, d, "query_list").where(F.col("category").rlike("^[a-z]+$")).select("category", "query_id", "query")
+    for (c,) in t.select("category").distinct().collect():
+        own = t.where(F.col("category") == c).drop("category")
+        I.write_named(own, folder, f"query_list_text_{c}_with_pos_target_retrieved.json")
+        I.write_named(own.limit(1), folder, f"query_list_text_{c}.json")
+    return I.read_retrieved(spark, folder, "query_id long, query string").select("category", "query_id", "query")
+
+
+@REGISTRY("scan_record_files", "SELECT query_id, query, pos_target FROM query_list", "S1 S2 K1")
+def scan_record_files(spark: SparkSession, d: str) -> DataFrame:
+    """A table as JSON files of one array each, and one that holds a single object, read again."""
+    folder, t = scratch(spark), table(spark, d, "query_list").select("query_id", "query", "pos_target")
+    array = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*t.columns))), ","), F.lit("]")).alias("value")
+    number = F.pmod(F.xxhash64("query_id"), F.lit(max(1, t.count() // 1000))).alias("file")
+    first = t.agg(F.min("query_id")).first()[0]
+    t.where(F.col("query_id") != first).groupBy(number).agg(array).write.partitionBy("file").text(f"{folder}/arrays")
+    t.where(F.col("query_id") == first).coalesce(1).write.json(f"{folder}/object/file=0")
+    return I.read_records(spark, f"{folder}/*/*", "query_id long, query string, pos_target array<string>")
+
+
+@REGISTRY("scan_train_columns", "SELECT query_id, query, pos_target FROM query_list WHERE query_id % 4 <> 3 AND category = 'finance'", "S11 P30")
 def scan_train_columns(spark: SparkSession, d: str) -> DataFrame:
-    """A columnar scan with its filter and columns pushed down."""
-    return table(spark, d, "query_list").where("category = 'finance'").select("query_id", "query", "pos_target")
+    """Parts named train-*, beside one that is not, with filter and columns pushed down."""
+    folder, t = scratch(spark), table(spark, d, "query_list")
+    for i in range(4):
+        t.where(F.col("query_id") % 4 == i).write.parquet(f"{folder}/{'train' if i < 3 else 'eval'}-{i}.parquet")
+    return I.read_train_parts(spark, folder).where("category = 'finance'").select("query_id", "query", "pos_target")
 
 
 @REGISTRY("sink_page_records", "WITH p AS (SELECT vec_id // 10 AS doc, vec_id % 10 AS i FROM embeddings) SELECT doc || '_' || i || '.png' AS page_name, doc || '.png' AS document_name FROM p UNION ALL SELECT DISTINCT doc || '.png', doc || '.png' FROM p", "K5")
@@ -104,10 +134,28 @@ def sink_missing_outputs(spark: SparkSession, d: str) -> DataFrame:
     return I.missing_only(t.where("document_name IS NOT NULL").select("document_name").distinct(), t.select(F.col("page_name").alias("document_name")), "document_name")
 
 
-@REGISTRY("sink_metrics_map", "SELECT 'P@' || k AS name, round(1.0 / k, 4)::DOUBLE AS v FROM (SELECT unnest([1, 3, 5, 10]) AS k)", "K1 K2 P28")
+NAMED = " UNION ALL ".join(f"SELECT '{n}@' || k AS name, {c} AS v FROM f" for n, c in (("P", "precision"), ("R", "recall"), ("MRR", "mrr"), ("NDCG", "ndcg")))
+
+
+@REGISTRY("sink_metrics_map", f"WITH f AS ({FLAGSHIP}) {NAMED}", "K1 K2 P28")
 def sink_metrics_map(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics as named values, as a result file holds them."""
-    return spark.createDataFrame([(k,) for k in (1, 3, 5, 10)], "k int").select(F.concat(F.lit("P@"), "k").alias("name"), F.round(1.0 / F.col("k"), 4).alias("v"))
+    """The flagship's metrics as named values, written to the result file of a run and read again."""
+    folder, m = scratch(spark), flagship_retrieval_metrics(spark, d)
+    named = F.array(*[F.struct(F.concat(F.lit(f"{n}@"), "k").alias("name"), F.col(c).alias("v")) for n, c in (("P", "precision"), ("R", "recall"), ("MRR", "mrr"), ("NDCG", "ndcg"))])
+    name = I.metrics_name("metrics", "maxsim", "1")
+    I.write_named(m.select(F.explode(named).alias("x")).select("x.name", "x.v"), folder, name)
+    return I.read_records(spark, f"{folder}/{name}", "name string, v double")
+
+
+@REGISTRY("sink_collection", "SELECT vec_id // 10 AS doc_id, count(*) AS tokens, round(sum(embedding[1]::DOUBLE), 6) AS first FROM embeddings GROUP BY 1", "K9 K4 K3")
+def sink_collection(spark: SparkSession, d: str) -> DataFrame:
+    """A vector collection's life: made, filled, dropped, made again and read by document."""
+    path, t = f"{scratch(spark)}/collection", fx.doc_tokens(spark, d)
+    I.write_vectors(t.where("tok = 0").select("doc_id", "tok", "e"), path)
+    I.drop_vectors(spark, path)
+    for parity in (0, 1):  # two inserts
+        I.write_vectors(t.where(F.col("doc_id") % 2 == parity).select("doc_id", "tok", "e"), path, "append")
+    return spark.read.parquet(path).groupBy("doc_id").agg(F.count("*").alias("tokens"), F.round(F.sum(F.col("e")[0]), 6).alias("first"))
 
 
 # external functions
@@ -166,5 +214,12 @@ def ext_judged_queries(spark: SparkSession, d: str) -> DataFrame:
 
 @REGISTRY("stream_daily_counts", "SELECT date_trunc('day', ingested_at) AS begin, category, count(*) AS n FROM image_page_metadata WHERE ingested_at IS NOT NULL GROUP BY 1, 2", "K9")
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The batch form of the windowed stream."""
-    return stream_counts(table(spark, d, "image_page_metadata"), "ingested_at", "category")
+    """The table as a stream of files, counted by day with a watermark and read from where the stream has put its counts."""
+    out, source = scratch(spark), table(spark, d, "image_page_metadata")
+    folder, file_name = source.inputFiles()[0].rsplit("/", 1)
+    own = folder.endswith(".parquet")  # the table may be a file among others or a folder of its own
+    rows = spark.readStream.schema(source.schema).option("pathGlobFilter", "*" if own else file_name).parquet(folder)
+    zoned = rows.where("ingested_at IS NOT NULL").withColumn("ingested_at", F.concat(F.col("ingested_at").cast("string"), F.lit("Z")).cast("timestamp"))  # watermarks need times with a zone
+    stream_counts_to(stream_counts(zoned, "ingested_at", "category"), f"{out}/counts", f"{out}/state")
+    begin = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, unix_seconds(begin))")
+    return spark.read.parquet(f"{out}/counts").withColumn("begin", begin)

@@ -36,7 +36,10 @@ metric AS (SELECT {keys}, k, hits / k AS precision, CASE WHEN n_truth > 0 THEN h
 MEANS = "round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr, round(avg(ndcg), 4) AS ndcg"
 
 
-@REGISTRY("flagship_retrieval_metrics", f"WITH {SCORES}, top AS (SELECT * FROM ranked WHERE rank < 10), {_metrics('top', 'gt')} SELECT k, {MEANS} FROM metric GROUP BY k", "M1 M2 M3 M4 M7 A5 A16 V1 P24")
+FLAGSHIP = f"WITH {SCORES}, top AS (SELECT * FROM ranked WHERE rank < 10), {_metrics('top', 'gt')} SELECT k, {MEANS} FROM metric GROUP BY k"
+
+
+@REGISTRY("flagship_retrieval_metrics", FLAGSHIP, "M1 M2 M3 M4 M7 A5 A16 V1 P24")
 def flagship_retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """MaxSim top 10 per query and its macro-averaged metrics."""
     ranked = X.top(fx.scores(spark, d, 10), ["qid"], F.col("score"), [F.col("doc_id")], 10)

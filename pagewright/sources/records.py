@@ -71,6 +71,12 @@ def read_by_category(spark: SparkSession, root: str, file_name: str, schema: str
     return rows.withColumn("category", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1))
 
 
+def categories(spark: SparkSession, root: str, file_name: str) -> DataFrame:
+    """(category): the folders of ``root`` that have the file; contents are not read."""
+    files = spark.read.format("binaryFile").load(f"{root}/*/{file_name}").select("path")
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("category")).distinct()
+
+
 def read_train_parts(spark: SparkSession, folder: str) -> DataFrame:
     """Parquet files named train-*."""
     return spark.read.parquet(f"{folder}/train-*.parquet")
@@ -117,11 +123,32 @@ def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_named(df: DataFrame, folder: str, name: str) -> None:
+    """One file of the given name that holds an array of the rows, as JSON; for results that fit in one file."""
+    spark = df.sparkSession
+    array = df.select(F.to_json(F.struct(*df.columns)).alias("j")).agg(F.array_join(F.array_sort(F.collect_list("j")), ",\n").alias("all")).select(F.concat(F.lit("[\n"), "all", F.lit("\n]")).alias("value"))
+    parts = f"{folder}/_{name}.parts"
+    array.coalesce(1).write.mode("overwrite").text(parts)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    written = fs.globStatus(at(f"{parts}/part-*"))[0].getPath()
+    fs.delete(at(f"{folder}/{name}"), False)
+    if not fs.rename(written, at(f"{folder}/{name}")):
+        raise OSError(f"{folder}/{name} cannot be written")
+    fs.delete(at(parts), True)
+
+
 def write_vectors(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A vector collection as Parquet; its reading replaces loading and its folder the collection."""
     df.write.mode(mode).parquet(path)
 
 
+def drop_vectors(spark: SparkSession, path: str) -> None:
+    """Remove a vector collection, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def metrics_name(kind: str, tag: str | None, fallback: str) -> str:
     """metrics_{tag}.json or eval_{tag}.json; without a tag the given fallback (a run's number) stands for it."""
     return f"{kind}_{tag or fallback}.json"

@@ -42,3 +42,12 @@ def stream_counts(rows: DataFrame, time: str, by: str, window: str = "1 day", la
     """Counts per window and value of a stream (or a batch); windows close ``late`` after the newest time."""
     timed = rows.withWatermark(time, late) if rows.isStreaming else rows
     return timed.groupBy(F.window(time, window).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("begin"), by, "n")
+
+
+def stream_counts_to(counts: DataFrame, output: str, checkpoint: str) -> None:
+    """Run a stream of counts until all that is there has been read; ``output`` holds the counts so far after each batch."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(output)
+
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
