@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import setjoin
-from pagewright.session import cut
 
 
 def word_grams(sets: DataFrame) -> DataFrame:
@@ -29,10 +28,8 @@ def contained_records(records: DataFrame, ratio: setjoin.Ratio, **kw) -> DataFra
     ``records``: id (unique integer), in_train (boolean; null rows are left out), members. containment is the share of the evaluation
     record's members that the training record has. Null and empty sets are in no pair; copies of a record each give their pairs.
     """
-    member, sets = setjoin.classes(records.where(F.col("in_train").isNotNull()), "id", "members", ("in_train",))
-    member = cut(member)
-    of = member.groupBy("set_id").agg(F.max("in_train").alias("has_train"), F.max(~F.col("in_train")).alias("has_eval"))
-    sets = cut(sets.join(of, "set_id"))
+    flags = {"has_train": F.col("in_train"), "has_eval": ~F.col("in_train")}
+    member, sets = setjoin.classes(records.where(F.col("in_train").isNotNull()), "id", "members", ("in_train",), flags)
     grams = setjoin.Grams.hold(ratio)
     how = {"rule": setjoin.Grams(ratio), "tokens": word_grams(sets)} if grams else {}
     close = setjoin.similar_sets(sets, ratio, ("has_train", "has_eval"), **how, **kw)

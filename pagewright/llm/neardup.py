@@ -9,8 +9,8 @@ common words, which fill many blocks alike, cost nothing (``setjoin``). Pairs th
 their fingerprints and then, exactly, by the overlap of their words.
 
 Sets whose size falls into different classes meet in the class of the smaller; a set therefore stands in up to two classes. Sets of which
-so many words share blocks that no more than d are filled could lose a pair. They are few (of 37,000 sets of the larger check table none to
-some dozens); they are compared among themselves over their words instead of blocks, so nothing is lost.
+so many words share blocks that no more than d are filled could lose a pair. They are few, and compared among themselves over their words
+instead of blocks, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as tx
 from pagewright.llm import graph, setjoin
-from pagewright.session import cut, drop
 
-BLOCKS_PER_WORD = 8
+BLOCKS_PER_WORD = 64
 #: Bits of a block's value; the bits above hold the block's number.
 VALUE_BITS = 40
 
@@ -73,17 +72,7 @@ class Fingerprint(setjoin.Rule):
 
 def close_sets(sets: DataFrame, ratio: setjoin.Ratio, **kw) -> DataFrame:
     """(a, b, common, size_a, size_b): links between the sets (set_id, toks) that overlap by at least ``ratio``, enough of them to connect all that are."""
-    rule, (p, q) = Fingerprint(ratio), ratio
-    blocks = cut(fingerprints(sets, ratio))
-    sizes = sets.select("set_id", "toks", F.size("toks").alias("size"))
-    filled = blocks.groupBy("set_id", "cls").agg(F.count("*").cast("int").alias("filled")).join(sizes, "set_id")
-    most = F.floor(F.col("size") * q / F.lit(p)).cast("int")
-    crowded = cut(filled.where(F.col("filled") <= rule.lacking(F.col("size"), F.col("filled"), F.lit(1), most)).select("set_id", "toks").dropDuplicates(["set_id"]))
-    close = setjoin.similar_sets(sets, ratio, links=True, rule=rule, tokens=blocks, **kw)
-    if crowded.isEmpty():
-        drop(crowded)
-        return close
-    return close.unionByName(setjoin.similar_sets(crowded, ratio, links=True, **kw))
+    return setjoin.similar_sets(sets, ratio, links=True, rule=Fingerprint(ratio), tokens=fingerprints(sets, ratio), **kw)
 
 
 def near_duplicate_groups(df: DataFrame, key: str, text: str, ratio: setjoin.Ratio = (7, 10)) -> DataFrame:
@@ -94,7 +83,6 @@ def near_duplicate_groups(df: DataFrame, key: str, text: str, ratio: setjoin.Rat
     """
     rows = df.select(F.col(key).alias("id"), tx.word_set(F.col(text)).alias("members"))
     member, sets = setjoin.classes(rows, "id", "members")
-    sets = cut(sets)
     close = close_sets(sets, ratio)
     # a set is an entity that ties its own records; a link makes the first record of one set a record of the other
     ties = member.select(F.col("id").alias("record"), F.col("set_id").alias("entity")).unionByName(close.select(F.col("a").alias("record"), F.col("b").alias("entity")))

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import setjoin
-from pagewright.session import cut
 
 SMALL_SET = 6
 
@@ -53,13 +52,10 @@ def similar_classes(sets: DataFrame, ratio: setjoin.Ratio, sides: tuple[str, str
 
 
 def _classed(records: DataFrame, across: bool) -> tuple[DataFrame, DataFrame, tuple[str, str] | None]:
-    """Membership and distinct sets, both cut, and the names of the sides' columns."""
-    member, sets = setjoin.classes(records, "id", "members", ("name", *(["side"] if across else [])))
-    member = cut(member)
+    """Membership and distinct sets, and the names of the sides' columns."""
     if not across:
-        return member, cut(sets), None
-    of = member.groupBy("set_id").agg(F.max("side").alias("has_left"), F.max(~F.col("side")).alias("has_right"))
-    return member, cut(sets.join(of, "set_id")), ("has_left", "has_right")
+        return *setjoin.classes(records, "id", "members", ("name",)), None
+    return *setjoin.classes(records, "id", "members", ("name", "side"), {"has_left": F.col("side"), "has_right": ~F.col("side")}), ("has_left", "has_right")
 
 
 def similar_records(records: DataFrame, ratio: setjoin.Ratio, across: bool, small: int = SMALL_SET, **kw) -> DataFrame:

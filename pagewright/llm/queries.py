@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as tx
-from pagewright.llm import contamination, frequency, leakage, neardup, overlap, residue, splits, tokenizer
+from pagewright.llm import contamination, frequency, leakage, neardup, overlap, residue, setjoin, splits, tokenizer
 from pagewright.llm import sql as S
 from pagewright.plans.registry import Registry
 from pagewright.session import cut, table
@@ -63,7 +63,7 @@ def _sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @REGISTRY("p3_found", S.P3_FOUND)
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     by_id, by_keyword = _sets(spark, d)
-    ids, keywords = overlap.similar_records(by_id, (3, 4), across=False), overlap.similar_records(by_keyword, (3, 5), across=True)
+    ids, keywords = setjoin.at_once(lambda: overlap.similar_records(by_id, (3, 4), across=False), lambda: overlap.similar_records(by_keyword, (3, 5), across=True))
     return _pairs(ids, "cluster_ids").unionByName(_pairs(keywords, "keywords"))
 
 
@@ -71,7 +71,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     """One row per record and field: its class of equal sets and how many other classes are similar. Copies are not expanded into pairs."""
     by_id, by_keyword = _sets(spark, d)
-    ids, keywords = overlap.linked_records(by_id, (3, 4), across=False), overlap.linked_records(by_keyword, (3, 5), across=True)
+    ids, keywords = setjoin.at_once(lambda: overlap.linked_records(by_id, (3, 4), across=False), lambda: overlap.linked_records(by_keyword, (3, 5), across=True))
     one = ids.withColumn("field_name", F.lit("cluster_ids")).unionByName(keywords.withColumn("field_name", F.lit("keywords")))
     return one.select("field_name", F.col("id").alias("record_id"), "class_id", "n_links")
 
@@ -81,7 +81,7 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
     split = tx.split_key(F.col("split_name"))
     by_query = q.select(F.col("query_id").alias("id"), (split == "train").alias("in_train"), tx.word_set(F.col("query")).alias("members"))
     by_target = q.select(F.col("query_id").alias("id"), (split == "train").alias("in_train"), tx.stem_set(F.col("pos_target")).alias("members")).where(F.size("members") >= 3)
-    a, b = contamination.contained_records(by_query, (7, 10)), contamination.contained_records(by_target, (4, 5))
+    a, b = setjoin.at_once(lambda: contamination.contained_records(by_query, (7, 10)), lambda: contamination.contained_records(by_target, (4, 5)))
     return a.withColumn("field", F.lit("query")).unionByName(b.withColumn("field", F.lit("pos_target")))
 
 

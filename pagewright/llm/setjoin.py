@@ -20,12 +20,15 @@ comparisons are exact. Members are 64-bit hashes, which only stand for each othe
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pagewright.session import cut
@@ -45,16 +48,24 @@ PRODUCT_COLUMNS, DENSE = 2048, 256
 Ratio = tuple[int, int]
 
 
-def classes(df: DataFrame, key: str, members: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Membership (``key``, set_id, ``carry``) and the distinct sets (set_id, toks, n). Empty and null sets are in neither.
+def classes(df: DataFrame, key: str, members: str, carry: tuple[str, ...] = (), flags: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Membership (``key``, set_id, ``carry``) and the distinct sets (set_id, toks, n, ``flags``), the latter written. Empty and null sets are in neither.
 
     ``key`` is a unique integer; ``set_id`` is the smallest one of the set, ``n`` the number of its rows. ``toks`` are hashes of the members.
+    A flag of a set is whether any of its rows meets the condition.
     """
     hashed = df.select(F.col(key), *carry, F.array_sort(F.array_distinct(F.transform(F.filter(members, lambda x: x.isNotNull()), lambda x: F.xxhash64(x)))).alias("toks"))
     keyed = hashed.where(F.size("toks") > 0).withColumns({"h1": F.xxhash64("toks"), "h2": F.xxhash64(F.lit("second"), "toks")})
-    sets = keyed.groupBy("h1", "h2").agg(F.min(F.col(key).cast("bigint")).alias("set_id"), F.first("toks").alias("toks"), F.count("*").alias("n"))
+    marks = [F.max(c).alias(name) for name, c in (flags or {}).items()]
+    sets = cut(keyed.groupBy("h1", "h2").agg(F.min(F.col(key).cast("bigint")).alias("set_id"), F.first("toks").alias("toks"), F.count("*").alias("n"), *marks))
     member = keyed.select(key, *carry, "h1", "h2").join(sets.select("h1", "h2", "set_id"), ["h1", "h2"]).drop("h1", "h2")
-    return member, sets.select("set_id", "toks", "n")
+    return member, sets.drop("h1", "h2")
+
+
+def at_once(*jobs: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Results of joins that do not depend on each other, made side by side: their loops wait for jobs of their own."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
 
 
 def with_copies(pairs: DataFrame, left: DataFrame, right: DataFrame, chunk: int = CHUNK_ROWS) -> DataFrame:
@@ -149,7 +160,8 @@ def similar_sets(
     ``sides``: two boolean columns of ``sets``; only pairs with one set of each side are made (a set may be of both). Otherwise all pairs, once.
     ``links``: only as many pairs as connect the same sets. ``larger_than``: one set of a pair must have more members.
     ``tokens``: (set_id, tok) that ``rule`` speaks of, instead of the members; it may have a column ``cls``, then a set stands in several
-    classes and pairs are made within the class of the smaller set. Empty input gives no rows.
+    classes and pairs are made within the class of the smaller set. Sets that may lack all their tokens are also joined among themselves over
+    their members: of a pair that shares no token both are such. Empty input gives no rows.
     """
     rule = rule or Rule(ratio)
     carry = list(sides or ())
@@ -159,8 +171,15 @@ def similar_sets(
     else:
         base = ordered(tokens, own, ["set_id", *[c for c in tokens.columns if c == "cls"]])
         base = base if "cls" in base.columns else base.withColumn("cls", F.lit(0))
-    base = cut(base)
-    return _Join(base, ratio, rule, sides, links, larger_than, hot, tile).pairs()
+    most = F.floor(F.col("size") * ratio[1] / F.lit(ratio[0])).cast("int")
+    loose, seen = F.size("toks") <= rule.lacking(F.col("size"), F.size("toks"), F.lit(1), most), Observation()
+    base = cut(base.observe(seen, F.count_if(loose).alias("loose")))
+    found = _Join(base, ratio, rule, sides, links, larger_than, hot, tile).pairs()
+    if tokens is None or not seen.get["loose"]:
+        return found
+    some = sets.join(base.where(loose).select("set_id").distinct(), "set_id", "left_semi")
+    more = similar_sets(some, ratio, sides, links, larger_than, hot=hot, tile=tile)
+    return found.unionByName(more).dropDuplicates(["a", "b"])
 
 
 @dataclass
@@ -189,9 +208,10 @@ class _Join:
             most = F.least("high", F.floor(size * q / F.lit(p)).cast("int"))
             lacking = self.rule.lacking(size, n_toks, F.col("low"), most)
             marked = level.join(count.select("block", "n", "mass", "low", "high"), "block").withColumn("lacks", lacking)
-            marked = cut(marked.where(F.col("last") + 1 - k <= F.col("lacks")).drop("low", "high"))
+            seen = Observation()
+            marked = cut(marked.where(F.col("last") + 1 - k <= F.col("lacks")).drop("low", "high").observe(seen, F.max("n").alias("top")))
             found.append(self._joined(marked.where(F.col("n") <= self.hot), k))
-            top = marked.agg(F.max("n")).first()[0] or 0
+            top = seen.get["top"] or 0
             if top <= self.hot:
                 break
             level, tiled = self._split(marked, k) if top > self.tile else (None, marked.where(F.col("n") > self.hot).withColumn("exact", F.lit(False)))
