@@ -166,12 +166,14 @@ LATIN_SHARE, LATIN_WORDS = 0.6, 4
 ACCENTS = str.maketrans("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy")
 
 
-@lru_cache(maxsize=1)
-def automaton() -> ahocorasick.Automaton:
-    """All words with the parts they may play, their length and whether they may go on to the end of a longer word."""
+@lru_cache(maxsize=2)
+def automaton(void: bool = False) -> ahocorasick.Automaton:
+    """All words with the parts they may play, their length and whether they may go on to the end of a longer word. Words that say nothing are in one of their own."""
     a = ahocorasick.Automaton()
     for language, parts in WORDS.items():
         for name, words in parts.items():
+            if (name == "void") != void:
+                continue
             for w in (x.replace("_", " ") for x in words.split()):
                 bare = w.rstrip("*")
                 key = bare if language == "zh" else f" {bare}" if w.endswith("*") else f" {bare} "
@@ -202,21 +204,23 @@ def open_field(text: str) -> str | None:
 
 def _dense(words: str, hits: list[tuple[int, tuple[int, int, bool]]], at: int) -> bool:
     """Whether words with a part make up most of a fragment's letters beside those that say nothing. ``hits`` are the automaton's, ``at`` is where the fragment begins."""
-    n, covered = len(words), bytearray(len(words))
-    for end, (parts, length, open_) in hits:
+    n, covered = len(words), bytearray(len(words) + 2)
+    for end, (_, length, _) in automaton(void=True).iter(f" {words} "):
+        covered[end - length + 1 : end + 1] = b"\2" * length
+    covered = covered[1:-1]
+    for end, (_, length, open_) in hits:
         begin, stop = max(end - length + 1 - at, 0), end + 1 - at
         if open_:
             stop = words.find(" ", stop)
             stop = n if stop < 0 else stop
-        if parts & ~VOID:
-            covered[begin:stop] = b"\1" * (min(stop, n) - begin)
-        else:
-            covered[begin:stop] = bytes(c or 2 for c in covered[begin:stop])
+        covered[begin:stop] = b"\1" * (min(stop, n) - begin)
     return covered.count(1) >= FRAGMENT_SHARE * (n - covered.count(2))
 
 
 def _is_filler(text: str) -> bool:
     """Mock Latin, keys struck at random, or one word over and over."""
+    if _COMMON(f" {text} "):
+        return False
     words = text.split()
     n = len(words)
     if n >= 3 and 2 * len(set(words)) <= n + 1 and max(map(words.count, set(words))) >= max(3, LATIN_SHARE * n):
@@ -227,6 +231,10 @@ def _is_filler(text: str) -> bool:
 
 
 _SURELY_LATIN = re.compile(r"(?<![^ ])(?:[a-z]+(?:us|um|[oa]rum|ibus)|" + "|".join(LATIN) + r")(?![^ ])").findall
+#: Words of common speech that mock Latin lacks.
+_COMMON = re.compile(" (?:the|of|and|to|was|der|die|das|und|von|mit|de|la|le|les|des|du|el|los|las|del|por|di|il|che|della|da|do|os) ").search
+#: What a text with lines of programs has somewhere.
+_MAY_CODE = re.compile(r"error|exception|traceback|line \d|warning|notice|errno|fault|caused by|\n\s*at [\w$]").search
 #: What a text with filler has somewhere: a beginning of mashed keys, an ending or word of mock Latin, or a word twice in a row.
 _MAY_FILL = re.compile(r" (?:asdf|qwert|foo|ba[rz]|qu?ux|blah?|xx)|(?:us|um|ibus|[oa]rum) |lorem|ipsum| ([^\W\d_]+) \1 ")
 
@@ -240,10 +248,11 @@ def _is_message(parts: int, status: bool) -> bool:
 def residue_share(text: str) -> tuple[float, bool]:
     """Share of the text's letters in residue, without title and furniture, and whether the text's last paragraph is residue."""
     text = re.sub(r"-[ \t]*\n[ \t]*(?=[a-zà-ÿ])", "", text.lower()).translate(ACCENTS)
+    may_code = bool(_MAY_CODE(text))
     fragments = []  # words, ends like a sentence, number of the paragraph, is code, as it stands
     for number, paragraph in enumerate(re.split(r"\n\s*\n", text)):
         for line in paragraph.split("\n"):
-            if CODE_LINE.match(line):
+            if may_code and CODE_LINE.match(line):
                 fragments.append((NOT_WORD.sub(" ", line).strip() or "code", True, number, True, line))
                 continue
             for m in SENTENCE.finditer(line):
@@ -255,23 +264,23 @@ def residue_share(text: str) -> tuple[float, bool]:
         return 0.0, False
     hay, at = " " + "  ".join(f[0] for f in fragments) + " ", 1
     hits, may_fill = list(automaton().iter(hay)), bool(_MAY_FILL.search(hay))
-    judged, hit, own = [], 0, []  # letters, is residue, where its hits are, ends like a sentence, number of the paragraph, may be furniture
+    judged, hit, own = [], 0, []  # letters, is residue, parts, ends like a sentence, number of the paragraph
     for words, stops, number, code, raw in fragments:
         n, parts, first = len(words), 0, hit
         while hit < len(hits) and hits[hit][0] <= at + n:
             parts |= hits[hit][1][0]
             hit += 1
         message = _is_message(parts, bool(parts & FAULT) and bool(STATUS.search(raw))) and _dense(words, hits[first:hit], at)
-        judged.append((n, code or message or may_fill and _is_filler(words), parts & ~VOID, stops, number, n < 200 and bool(FURNITURE.match(raw))))
-        own.append((words, first, hit, at))
+        judged.append((n, code or message or may_fill and _is_filler(words), parts, stops, number))
+        own.append((words, raw, first, hit, at))
         at += n + 2
     if not any(j[1] for j in judged):
         return 0.0, False
     held = {j[4] for j in judged if j[1]}  # what goes on in a message's paragraph with its words belongs to it
     judged = [
         (n, residue or bool(parts) and number in held and _dense(words, hits[first:after], begin), stops, number)
-        for (n, residue, parts, stops, number, furniture), (words, first, after, begin) in zip(judged, own, strict=True)
-        if residue or not furniture
+        for (n, residue, parts, stops, number), (words, raw, first, after, begin) in zip(judged, own, strict=True)
+        if residue or not (n < 200 and FURNITURE.match(raw))
     ]
     total = covered_letters = tail = tail_covered = 0
     for k, (n, residue, stops, number) in enumerate(judged):
