@@ -28,7 +28,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.session import cut
@@ -64,8 +64,9 @@ def classes(df: DataFrame, key: str, members: str, carry: tuple[str, ...] = (),
 
 def at_once(*jobs: Callable[[], DataFrame]) -> list[DataFrame]:
     """Results of joins that do not depend on each other, made side by side: their loops wait for jobs of their own."""
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(len(jobs)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+        return [f.result() for f in [pool.submit(inherit(job)) for job in jobs]]
 
 
 def with_copies(pairs: DataFrame, left: DataFrame, right: DataFrame, chunk: int = CHUNK_ROWS) -> DataFrame:
@@ -167,13 +168,13 @@ def similar_sets(
     carry = list(sides or ())
     own = sets.select("set_id", F.col("toks").alias("members"), F.size("toks").alias("size"), *carry)
     if tokens is None:
-        base = ordered(sets.select("set_id", F.explode("toks").alias("tok")), own.drop("members"), ["set_id"]).withColumns({"members": F.col("toks"), "cls": F.lit(0)})
+        base = ordered(sets.select("set_id", F.explode("toks").alias("tok")), own.drop("members"), ["set_id"]).withColumn("cls", F.lit(0))
     else:
         base = ordered(tokens, own, ["set_id", *[c for c in tokens.columns if c == "cls"]])
         base = base if "cls" in base.columns else base.withColumn("cls", F.lit(0))
     most = F.floor(F.col("size") * ratio[1] / F.lit(ratio[0])).cast("int")
     loose, seen = F.size("toks") <= rule.lacking(F.col("size"), F.size("toks"), F.lit(1), most), Observation()
-    base = cut(base.observe(seen, F.count_if(loose).alias("loose")))
+    base = cut(base.withColumn("n_toks", F.size("toks")).observe(seen, F.count_if(loose).alias("loose")))
     found = _Join(base, ratio, rule, sides, links, larger_than, hot, tile).pairs()
     if tokens is None or not seen.get["loose"]:
         return found
@@ -194,11 +195,11 @@ class _Join:
     tile: int
 
     def pairs(self) -> DataFrame:
-        kept = self.base.columns
         p, q = self.ratio
-        size, n_toks = F.col("size"), F.size("toks")
+        size, n_toks = F.col("size"), F.col("n_toks")
+        kept = self._slim()
         reach = self.rule.lacking(size, n_toks, F.lit(1), F.floor(size * q / F.lit(p)).cast("int"))
-        first = F.explode(F.transform(F.slice("toks", 1, F.greatest(reach, F.lit(0)) + 1), lambda t, i: F.struct(F.xxhash64("cls", t).alias("block"), i.alias("last"))))
+        first = F.explode(F.transform(F.slice("toks", 1, F.greatest(reach, F.lit(0)) + 1), lambda t, i: F.struct(F.xxhash64("cls", t).alias("block"), i.cast("int").alias("last"))))
         level, k, found = self.base.select(*kept, first.alias("x")).select("x.block", "x.last", *kept), 1, []
         while True:
             ways = [F.max(self.rule.home()).alias("home"), *[F.max(s).alias(s) for s in self.sides or ()]]
@@ -221,11 +222,22 @@ class _Join:
             k += 1
         return reduce(DataFrame.unionByName, found)
 
+    def _slim(self) -> list[str]:
+        """Columns that go through the blocks; the lists are joined to what is left."""
+        return [c for c in self.base.columns if c not in ("toks", "members")]
+
+    def _full(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.base.select("set_id", "cls", *[c for c in ("toks", "members") if c in self.base.columns]), ["set_id", "cls"])
+
+    @property
+    def _members(self) -> str:
+        return "members" if "members" in self.base.columns else "toks"
+
     def _ahead(self, rows: DataFrame, k: int) -> tuple[DataFrame, Column]:
         """Rows with a later token, and the struct (block, last) of each of them, for blocks with k + 1."""
-        end = F.least(F.size("toks"), F.col("lacks") + k + 1) - 1
-        step = F.transform(F.sequence(F.col("last") + 1, end), lambda j: F.struct(F.xxhash64("block", F.get("toks", j)).alias("block"), j.alias("last")))
-        return rows.where(F.col("last") + 1 <= end), F.explode(step)
+        end = F.least(F.col("n_toks"), F.col("lacks") + k + 1) - 1
+        step = F.transform(F.sequence(F.col("last") + 1, end), lambda j: F.struct(F.xxhash64("block", F.get("toks", j)).alias("block"), j.cast("int").alias("last")))
+        return self._full(rows.where(F.col("last") + 1 <= end)), F.explode(step)
 
     def _split(self, marked: DataFrame, k: int) -> tuple[DataFrame | None, DataFrame]:
         """Rows of the next level from blocks that are better split, if any; and the rows for tiles.
@@ -233,7 +245,7 @@ class _Join:
         Sets that may have no more than k tokens in common with a similar one cannot rely on a block with k + 1. In a split block those are
         tiled among themselves, for pairs with just k common tokens (``exact``); all other pairs have more and meet later.
         """
-        large, unsafe = marked.where(F.col("n") > self.tile), F.size("toks") - F.col("lacks") <= k
+        large, unsafe = marked.where(F.col("n") > self.tile), F.col("n_toks") - F.col("lacks") <= k
         rows, step = self._ahead(large, k)
         inner = rows.select(F.col("block").alias("outer"), step.alias("x")).groupBy("outer", "x.block").agg(F.count("*").alias("m"))
         after = inner.groupBy("outer").agg(F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2 + ROW_COST * F.col("m")).alias("cost"))
@@ -245,7 +257,7 @@ class _Join:
         if split.isEmpty():
             return None, tiled
         rows, step = self._ahead(split, k)
-        kept = self.base.columns
+        kept = self._slim()
         return rows.select(*kept, step.alias("x")).select("x.block", "x.last", *kept), tiled
 
     def _joined(self, cold: DataFrame, k: int) -> DataFrame:
@@ -256,13 +268,15 @@ class _Join:
         if self.sides:
             left, right = self.sides
             on = on & ((F.col(f"a.{left}") & F.col(f"b.{right}")) | (F.col(f"a.{right}") & F.col(f"b.{left}")))
-        met = cold.alias("a").join(cold.alias("b"), on & self.rule.pair())
+        met = self._full(cold).alias("a").join(self._full(cold).alias("b"), on & self.rule.pair())
         earlier = F.array_intersect(*[F.slice(f"{s}.toks", F.lit(1), F.col(f"{s}.last")) for s in "ab"])
-        both = F.array_intersect("a.members", "b.members")
+        both = F.array_intersect(f"a.{self._members}", f"b.{self._members}")
         kept = met.where(F.size(earlier) == k - 1).withColumn("common", F.size(both)).where(F.col("common") >= wanted)
         return kept.select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"), "common", F.col("a.size").alias("size_a"), F.col("b.size").alias("size_b"))
 
     def _tiled(self, rows: DataFrame, k: int) -> DataFrame:
+        rows = self._full(rows)
+        rows = rows if "members" in rows.columns else rows.withColumn("members", F.col("toks"))
         if not self.links:
             return self._in_tiles(rows.withColumns({"near": F.lit(False), "n_near": F.lit(0).cast("bigint"), "n_far": F.col("n")}), k)
         small, large = rows.where(F.col("n") <= self.tile), rows.where(F.col("n") > self.tile)
