@@ -112,13 +112,13 @@ def scan_record_files(spark: SparkSession, d: str) -> DataFrame:
     return I.read_records(spark, f"{folder}/*/*", "query_id long, query string, pos_target array<string>")
 
 
-@REGISTRY("scan_train_columns", "SELECT query_id, query, pos_target FROM query_list WHERE query_id % 4 <> 3 AND category = 'finance'", "S11 P30")
+@REGISTRY("scan_train_columns", "SELECT query_id, query, pos_target FROM query_list WHERE query_id % 4 <> 3 AND category = 'biology'", "S11 P30")
 def scan_train_columns(spark: SparkSession, d: str) -> DataFrame:
     """Parts named train-*, beside one that is not, with filter and columns pushed down."""
     folder, t = scratch(spark), table(spark, d, "query_list")
     for i in range(4):
         t.where(F.col("query_id") % 4 == i).write.parquet(f"{folder}/{'train' if i < 3 else 'eval'}-{i}.parquet")
-    return I.read_train_parts(spark, folder).where("category = 'finance'").select("query_id", "query", "pos_target")
+    return I.read_train_parts(spark, folder).where("category = 'biology'").select("query_id", "query", "pos_target")
 
 
 @REGISTRY("sink_page_records", "WITH p AS (SELECT vec_id // 10 AS doc, vec_id % 10 AS i FROM embeddings) SELECT doc || '_' || i || '.png' AS page_name, doc || '.png' AS document_name FROM p UNION ALL SELECT DISTINCT doc || '.png', doc || '.png' FROM p", "K5")
