@@ -138,3 +138,14 @@ def test_residue_cases(spark):
 
 def test_long_text_with_message_inside_is_sound():
     assert residue.judge(REPORT * 50 + "\n\nPage not found.\n\n" + REPORT * 50) is None
+
+
+def test_a_full_filter_only_passes_more(spark, monkeypatch):
+    """With a filter of a few bits nearly every suffix of the corpus is shuffled; the rows stay the same."""
+    monkeypatch.setattr(leakage, "FILTER_BITS", 1 << 10)
+    rnd = random.Random(3)
+    items = [(i, " ".join(f"w{rnd.randint(0, 20)}" for _ in range(40))) for i in range(20)]
+    docs = [(i, " ".join([f"o{rnd.randint(0, 9)}"] * 5 + items[i % 20][1].split()[i % 9 : i % 9 + 10 + i % 5] + ["end"])) for i in range(60)] + [(99, None), (98, "")]
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    got = {(r.doc, r.item) for r in leakage.passage_matches(d, t, "doc_id", "text", "item_id", "item_text", block_words=1).collect()}
+    assert got == {(i, j) for i, x in docs for j, y in items if grams(x) & grams(y)} and got
