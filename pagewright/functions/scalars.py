@@ -150,6 +150,21 @@ def patch_grid(width: Column, height: Column, patch: int, merge: int = 1) -> tup
     return F.floor(F.floor(width / patch) / merge).cast("int"), F.floor(F.floor(height / patch) / merge).cast("int")
 
 
+def resized_grid(width: Column, height: Column, patch: int = 14, merge: int = 2, min_pixels: int = 3136, max_pixels: int = 602_112) -> tuple[Column, Column]:
+    """Patches of a picture that is first brought to sides divisible by ``patch * merge`` and to an area between the bounds, then merged.
+
+    Sides are rounded (half to even) to the nearest multiple, at least one; where the area then lies outside, both shrink or grow by the
+    square root of the ratio of areas, down or up to a multiple.
+    """
+    unit, area = float(patch * merge), width.cast("double") * height
+    near = [F.greatest(F.lit(unit), F.bround(c / unit) * unit) for c in (width, height)]
+    shrink, grow = F.sqrt(area / float(max_pixels)), F.sqrt(F.lit(float(min_pixels)) / area)
+    less = [F.greatest(F.lit(unit), F.floor(c / shrink / unit) * unit) for c in (width, height)]
+    more = [F.ceil(c * grow / unit) * unit for c in (width, height)]
+    now = near[0] * near[1]
+    return tuple(F.floor(F.when(now > max_pixels, s).when(now < min_pixels, m).otherwise(n) / unit).cast("int") for n, s, m in zip(near, less, more, strict=True))
+
+
 def padded_to_ratio(width: Column, height: Column, ratio_w: int = 612, ratio_h: int = 792) -> tuple[Column, Column]:
     """The smallest size of the given ratio that holds the picture."""
     wide = width * ratio_h > height * ratio_w

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.operators.sampling import some_of_each
@@ -31,3 +31,13 @@ def shared_positive_mask(examples: DataFrame, batch: str, query: str, targets: s
     positive = chosen.select(batch, query, "doc").distinct().withColumn("is_positive", F.lit(True))
     grid = examples.select(batch, query).join(columns, batch)
     return grid.join(positive, [batch, query, "doc"], "left").select(batch, query, "column", "doc", F.coalesce("is_positive", F.lit(False)).alias("is_positive"))
+
+
+def routed(items: DataFrame, batch: str, order: str, kind: Column, known: tuple[str, ...] = ("text", "image")) -> DataFrame:
+    """``items`` with ``route``: the kind of the first item of their batch, by which all of it is processed. A kind that is not known raises.
+
+    Null kinds count as not known. Batches may be of any size: the first item is an aggregate, not a window.
+    """
+    first = items.groupBy(batch).agg(F.min_by(kind, order).alias("__kind"))
+    checked = F.when(F.col("__kind").isin(*known), F.col("__kind")).otherwise(F.raise_error(F.concat(F.lit("unsupported kind of batch: "), F.coalesce("__kind", F.lit("none")))))
+    return items.join(first.select(batch, checked.alias("route")), batch)

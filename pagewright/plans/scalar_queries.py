@@ -191,6 +191,21 @@ def fn_picture_geometry(spark: SparkSession, d: str) -> DataFrame:
     return t.select("p_partkey", *[c.cast("int").alias(n) for n, c in cols.items()])
 
 
+def _grid_sql(side: str) -> str:
+    near, shrink, grow = (f"greatest(28.0, round_even({c}::DOUBLE / 28.0, 0) * 28.0)" for c in "wh"), "sqrt(w::DOUBLE * h / 602112.0)", "sqrt(3136.0 / (w::DOUBLE * h))"
+    now, own = " * ".join(near), f"greatest(28.0, round_even({side}::DOUBLE / 28.0, 0) * 28.0)"
+    return f"floor(CASE WHEN {now} > 602112 THEN greatest(28.0, floor({side} / {shrink} / 28.0) * 28.0) WHEN {now} < 3136 THEN ceil({side} * {grow} / 28.0) * 28.0 ELSE {own} END / 28.0)::INTEGER"
+
+
+@REGISTRY("fn_resized_grid", f"SELECT p_partkey, {_grid_sql('w')} AS patches_x, {_grid_sql('h')} AS patches_y FROM (SELECT p_partkey, w::INTEGER * (1 + p_partkey % 3) AS w, h::INTEGER // (1 + p_partkey % 41) AS h FROM ({SIZES}))", "P33")
+def fn_resized_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Patches after the resize to bounded areas; small and large pictures are among them."""
+    k = F.col("p_partkey")
+    t = page_sizes(spark, d).select("p_partkey", (F.col("w").cast("int") * (1 + k % 3)).alias("w"), F.floor(F.col("h").cast("int") / (1 + k % 41)).alias("h"))
+    x, y = S.resized_grid(F.col("w"), F.col("h"))
+    return t.select("p_partkey", x.alias("patches_x"), y.alias("patches_y"))
+
+
 @REGISTRY("fn_crop_box", "WITH px AS (SELECT vec_id // 20 AS img, vec_id % 20 AS y, unnest(range(64)) AS x, unnest(embedding) AS v FROM embeddings) SELECT img, greatest(min(x) - 2, 0) AS x0, greatest(min(y) - 2, 0) AS y0, least(max(x) + 3, 64) AS x1, least(max(y) + 3, 20) AS y1 FROM px WHERE v > 0.3 GROUP BY img", "P34")
 def fn_crop_box(spark: SparkSession, d: str) -> DataFrame:
     """Bounding box of marked pixels with a margin of 2, cut at the borders."""

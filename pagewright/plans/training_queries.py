@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import vectors as V
+from pagewright.functions.scalars import has_extension
 from pagewright.operators import cluster as C
 from pagewright.operators import collate as L
 from pagewright.operators import grouping as G
@@ -136,6 +137,17 @@ def _batch(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {"sc": alls.join(inner, ["q", "d"], "left_semi"), "alls": alls, "pos": pos, "neg": neg, "truth": labels.join(inner, ["q", "d"], "left_semi").select("q", "d")}
 
 
+ROUTED = "CASE WHEN regexp_matches(coalesce(page_name, ''), '(?i)\\.(png|jpg|jpeg|webp)$') THEN 'image' ELSE 'text' END"
+
+
+@REGISTRY("collate_routed", f"WITH i AS (SELECT page_id, page_id // 16 AS batch, {ROUTED} AS kind FROM image_page_metadata) SELECT page_id, batch, route FROM i JOIN (SELECT batch, arg_min(kind, page_id) AS route FROM i GROUP BY batch) USING (batch)", "L5")
+def collate_routed(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of items that go the way of pictures or of texts, by their first item."""
+    name = F.coalesce("page_name", F.lit(""))
+    t = table(spark, d, "image_page_metadata").select("page_id", F.floor(F.col("page_id") / 16).alias("batch"), F.when(has_extension(name, ["png", "jpg", "jpeg", "webp"]), "image").otherwise("text").alias("kind"))
+    return L.routed(t, "batch", "page_id", F.col("kind")).select("page_id", "batch", "route")
+
+
 def _lse(value: str, source: str = "sc", name: str = "l") -> str:
     return f"(SELECT q, max({value}) + ln(sum(exp({value} - m))) AS {name} FROM {source} JOIN (SELECT q, max({value}) AS m FROM {source} GROUP BY q) USING (q) GROUP BY q)"
 

@@ -236,3 +236,14 @@ def test_relations(spark):
     assert relational.histogram(df.limit(0), F.col("q")).count() == 0
     old = df.select("q", F.col("id").alias("o"))
     assert relational.merged_groups(old, old, ["q"], "o").count() == 3
+
+
+def test_routed_batches(spark):
+    from pagewright.operators import collate
+
+    df = spark.createDataFrame([(1, 5, "image"), (1, 3, "text"), (2, 1, "image"), (3, 1, None)], "b long, i long, kind string")
+    got = {(r.b, r.i): r.route for r in collate.routed(df.where("b < 3"), "b", "i", F.col("kind")).collect()}
+    assert got == {(1, 5): "text", (1, 3): "text", (2, 1): "image"}
+    assert collate.routed(df.limit(0), "b", "i", F.col("kind")).count() == 0
+    with pytest.raises(Exception, match="unsupported kind"):
+        collate.routed(df, "b", "i", F.col("kind")).collect()

@@ -36,13 +36,13 @@ def inventory():
 
 
 # covered by readers, writers and helpers that tests/test_sources.py and tests/test_operators.py try on files and small tables
-BY_TESTS = {"S1", "S2", "S3", "S22", "S25", "K1", "K2", "K4", "K6", "K9", "P29", "F11", "E14"}
+BY_TESTS = {"S3", "S22", "S25", "K6", "P29", "F11", "E14"}
 
 
 def test_inventory_is_covered():
     covered = {i for r in REGISTRIES for ids in r.ids.values() for i in ids} | BY_TESTS
-    todo = {i for i, tier in inventory().items() if tier not in ("N", "M8") and not tier.startswith("N")}
-    assert todo - covered - {"T1"} == {i for i in todo - covered if inventory()[i].startswith("X")} - {"T1"}
+    todo = {i for i, tier in inventory().items() if tier != "M8" and not tier.startswith("N")}
+    assert todo - covered == set()
 
 
 def test_names_are_free():
